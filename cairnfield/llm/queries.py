@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from cairnfield.llm import credentials, functions, leaks, pieces, pii, syntax, tokens
+    from cairnfield.llm import credentials, functions, leaks, pieces, pii, provenance, syntax, tokens
 
     return {
         "p1_found": lambda s, d: credentials.found_lines(table(s, d, "repository_files")),
@@ -21,6 +21,8 @@ def queries() -> dict[str, Query]:
         "p2_pairs": lambda s, d: functions.code_description_pairs(table(s, d, "repository_files"), table(s, d, "repository_file_symbols")),
         "p3_found": lambda s, d: pii.found_items(table(s, d, "notes")),
         "p3_masked": lambda s, d: pii.masked_notes(table(s, d, "notes")),
+        "p4_found": lambda s, d: provenance.not_handwritten(table(s, d, "repository_files")),
+        "p4_labels": lambda s, d: provenance.labelled_files(table(s, d, "repository_files")),
         "p5_found": lambda s, d: syntax.invalid_files(table(s, d, "repository_files")),
         "p5_rates": lambda s, d: syntax.invalid_rates(table(s, d, "repository_files")),
         "p6_found": lambda s, d: pieces.oversized_items(table(s, d, "notes"), table(s, d, "repository_files")),
