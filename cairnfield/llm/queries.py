@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from cairnfield.llm import credentials, functions, leaks, pieces, pii, provenance, syntax, tokens
+    from cairnfield.llm import credentials, functions, language, leaks, pieces, pii, provenance, syntax, tokens
 
     return {
         "p1_found": lambda s, d: credentials.found_lines(table(s, d, "repository_files")),
@@ -30,6 +30,9 @@ def queries() -> dict[str, Query]:
         "p8_ids": lambda s, d: tokens.encode_documents(table(s, d, "documents")),
         "p9_found": lambda s, d: leaks.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_spans": lambda s, d: leaks.leaked_spans(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p10_found": lambda s, d: language.unnamed_languages(table(s, d, "documents")),
+        "p10_passages": lambda s, d: language.passages(table(s, d, "documents")),
+        "p10_documents": lambda s, d: language.document_languages(table(s, d, "documents")),
     }
 
 
