@@ -113,17 +113,20 @@ def evidence(path: str | None, text: str | None) -> list[float]:
     spaces = sum(line.count(" ") for line in code)
     literal = 0
     for line in code:
-        if LITERAL_LINE.fullmatch(line):
-            literal += len(line)
+        # Most lines of code can be told by their ends.
+        bare_line = line.strip()
+        if bare_line[0] in "\"'[{(-0123456789}])" or bare_line[-1] == "," and "(" not in bare_line and "=" not in bare_line:
+            if LITERAL_LINE.fullmatch(line):
+                literal += len(line)
     share = literal / size
     if share > 0.5 and size > 200:
         phi[4] += DATA * min(1.0, (share - 0.5) / 0.25)
     else:
         longest = max(map(len, code))
-        if not share > 0.5:
+        if not share > 0.5 and size > 400 and (longest > 150 or spaces < 0.06 * size):
             # One-line data: quoted or numeric literals take up nearly all of the text.
             bare = len(re.sub(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|\b(?:0x[0-9a-fA-F]+|\d[\d.]*)\b|[\s,:\[\]{}()+-]", "", "".join(code)))
-            if size > 400 and bare < 0.12 * size:
+            if bare < 0.12 * size:
                 phi[4] += DATA
         if size > 250 and size / len(code) > 160 and longest > 300 and spaces < 0.12 * size and phi[4] < 0:
             phi[2] += DENSE
@@ -132,16 +135,14 @@ def evidence(path: str | None, text: str | None) -> list[float]:
     # Repetition: the same line shape again and again, with names that count up.
     code = [line for line in code if not IMPORTS.match(line)]
     if len(code) >= 6:
-        shapes = Counter(TEMPLATE.sub("w", line) for line in code)
-        top = shapes.most_common(6)
         numbers = [int(x) for x in NUMBERED.findall("\n".join(code))]
-        seen = sorted(set(numbers))
-        run = 0
-        for n in seen:
-            if n == run:
-                run += 1
-        if run >= 5 and sum(n for _, n in top) >= 0.7 * len(code) and sum(numbers.count(k) > 0 for k in range(run)) >= 0.25 * len(code) / max(1, len(shapes)) and sum(1 for n in numbers if n < run) >= 0.5 * len(numbers):
-            phi[1] += SEQUENCE
+        seen, run = set(numbers), 0
+        while run in seen:
+            run += 1
+        if run >= 5 and sum(1 for n in numbers if n < run) >= 0.5 * len(numbers):
+            shapes = Counter(TEMPLATE.sub("w", line) for line in code)
+            if sum(n for _, n in shapes.most_common(6)) >= 0.7 * len(code) and run >= 0.25 * len(code) / len(shapes):
+                phi[1] += SEQUENCE
     return phi
 
 
@@ -156,12 +157,9 @@ def signature(text: str, known: dict[str, int]) -> tuple[list[int], bytes] | Non
         return None
     if len(known) > 500_000:
         known.clear()
-    codes = []
-    for w in words:
-        c = known.get(w)
-        if c is None:
-            c = known[w] = zlib.crc32(w.encode("utf-8", "replace")) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        codes.append(c)
+    for w in set(words).difference(known):
+        known[w] = zlib.crc32(w.encode("utf-8", "replace")) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    codes = list(map(known.__getitem__, words))
     seq = np.array(codes, np.uint64)
     n = len(seq) - SHINGLE + 1
     with np.errstate(over="ignore"):
