@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from cairnfield.plans import integrity
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+PARTS = (integrity,)
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for part in PARTS for name, query in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.oracle_sql().items()}
