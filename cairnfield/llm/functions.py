@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.arrow import map_rows, spread
-from cairnfield.llm import lexing
+from cairnfield.functions import lexing
 
 LANGUAGES = ("typescript", "javascript", "python", "go")
 

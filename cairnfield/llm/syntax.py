@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.arrow import map_rows, spread
-from cairnfield.llm import grammars, lexing
+from cairnfield.functions import lexing
+from cairnfield.llm import grammars
 
 #: Characters of a chunk.
 CHUNK = 65_536
