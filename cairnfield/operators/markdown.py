@@ -51,9 +51,12 @@ def problem_of(type_: Column, name: Column, frontmatter: Column, body: Column) -
     )
 
 
-@F.pandas_udf("struct<frontmatter string, body string, error string>")
-def parse_note(raw: pd.Series) -> pd.DataFrame:
-    """Frontmatter as JSON, body and error of raw note texts."""
+def parse_note(raw: Column) -> Column:
+    """Frontmatter as JSON, body and error of raw note texts, as a struct."""
+    return F.pandas_udf(_parsed, "struct<frontmatter string, body string, error string>")(raw)
+
+
+def _parsed(raw: pd.Series) -> pd.DataFrame:
     import re
 
     import yaml
@@ -79,9 +82,12 @@ def parse_note(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["frontmatter", "body", "error"])
 
 
-@F.pandas_udf("string")
-def serialize_note(frontmatter: pd.Series, body: pd.Series) -> pd.Series:
+def serialize_note(frontmatter: Column, body: Column) -> Column:
     """Raw note texts from frontmatter (JSON) and body; null frontmatter is an empty mapping."""
+    return F.pandas_udf(_serialized, "string")(frontmatter, body)
+
+
+def _serialized(frontmatter: pd.Series, body: pd.Series) -> pd.Series:
     import yaml
 
     def one(fm, text):

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.plans import integrity
+from cairnfield.plans import history, integrity, people
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PARTS = (integrity,)
+PARTS = (history, integrity, people)
 
 
 def queries() -> dict[str, Query]:
