@@ -68,7 +68,8 @@ def knn(vectors: DataFrame, k: int = K, block: int = BLOCK, queries: DataFrame |
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     left = asked.select("*", place(rows).alias("r"), each(columns).alias("c"))
-    right = kept.select("*", place(columns).alias("c"), each(rows).alias("r"))
+    # Other names, as both sides come from one frame.
+    right = kept.select("*", place(columns).alias("c"), each(rows).alias("r")).toDF("v_key", "v_embedding", "v_seq", "v_c", "v_r")
 
     def unit(s: pd.Series) -> np.ndarray:
         m = np.array(s.tolist(), np.float64)
@@ -78,7 +79,7 @@ def knn(vectors: DataFrame, k: int = K, block: int = BLOCK, queries: DataFrame |
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[str, str, float]] = []
         if len(q) and len(v):
-            mq, mv, names, seqs = unit(q["embedding"]), unit(v["embedding"]), v["key"].to_numpy(), v["seq"].to_numpy()
+            mq, mv, names, seqs = unit(q["embedding"]), unit(v["v_embedding"]), v["v_key"].to_numpy(), v["v_seq"].to_numpy()
             for at in range(0, len(q), 1024):
                 sims = np.round(mq[at : at + 1024] @ mv.T, 6)
                 keys, own_seqs = q["key"].to_numpy()[at : at + 1024], q["seq"].to_numpy()[at : at + 1024]
@@ -93,7 +94,7 @@ def knn(vectors: DataFrame, k: int = K, block: int = BLOCK, queries: DataFrame |
                     found += [(own, names[n], float(s[n])) for n in sorted(ok, key=lambda n: (-s[n], names[n]))[:k]]
         return pd.DataFrame(found, columns=["key", "neighbour", "similarity"])
 
-    pairs = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(best, "key string, neighbour string, similarity double")
+    pairs = left.groupBy("r", "c").cogroup(right.groupBy("v_r", "v_c")).applyInPandas(best, "key string, neighbour string, similarity double")
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), "neighbour"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 

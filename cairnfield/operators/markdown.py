@@ -19,7 +19,7 @@ LINK = r"\[\[([^\]|#]+)(?:[|#][^\]]*)?\]\]"
 
 def wikilinks(body: Column) -> Column:
     """Targets of the links in a body, without alias or heading."""
-    found = F.transform(F.regexp_extract_all(body, F.lit(LINK), 1), F.trim)
+    found = F.transform(F.regexp_extract_all(body, F.lit(LINK), 1), lambda t: F.trim(t))
     return F.array_distinct(F.filter(found, lambda t: t != ""))
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.plans import history, integrity, people
+from cairnfield.plans import history, integrity, knowledge, people
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PARTS = (history, integrity, people)
+PARTS = (history, integrity, knowledge, people)
 
 
 def queries() -> dict[str, Query]:
