@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.plans import history, integrity, knowledge, people
+from cairnfield.plans import history, integrity, knowledge, people, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PARTS = (history, integrity, knowledge, people)
+PARTS = (history, integrity, knowledge, people, scalars)
 
 
 def queries() -> dict[str, Query]:
