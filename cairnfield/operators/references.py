@@ -69,28 +69,26 @@ def build_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Bloom:
     return Bloom(field, bits)
 
 
-def _split(spark: SparkSession, refs: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
+def _key(parent: str, *parts: Column | str) -> Column:
+    """Hash of a key of one kind of parent; one filter holds the keys of all kinds."""
+    return F.xxhash64(F.lit(parent), *parts)
+
+
+def _tested(refs: DataFrame, shared) -> DataFrame:
     """``refs`` with the column ``possible``: false if no parent has the reference's ``key``."""
-    shared = spark.sparkContext.broadcast(build_filter(keys, bits))
 
-    @F.pandas_udf("boolean")
     def possible(key: pd.Series) -> pd.Series:
         return pd.Series(shared.value.may_hold(key.to_numpy(np.int64)))
 
-    return refs.withColumn("possible", possible("key"))
-
+    return refs.withColumn("possible", F.pandas_udf(possible, "boolean")("key"))
 
-def _key(*parts: Column | str) -> Column:
-    return F.xxhash64(*parts)
 
-
-def _orphans(spark: SparkSession, refs: DataFrame, parents: DataFrame, on: list[str], bits: int) -> DataFrame:
+def _orphans(refs: DataFrame, parents: DataFrame, parent: str, on: list[str], shared) -> DataFrame:
     """(ref_table, source_id, target_path, updated_at, reason): references without a parent of their time.
 
     refs: ref_table, source_id, target_path, updated_at, key columns ``on``; parents: ``on`` and created_at, unique.
     """
-    keyed = refs.withColumn("key", _key(*on))
-    tested = _split(spark, keyed, parents.select(_key(*on).alias("key")), bits)
+    tested = _tested(refs.withColumn("key", _key(parent, *on)), shared)
     denied = tested.filter("not possible").withColumn("reason", F.lit("missing"))
     joined = tested.filter("possible").join(parents, on, "left")
     late = joined.filter("created_at is null or updated_at is null or created_at > updated_at").withColumn("reason", F.when(F.col("created_at").isNull(), "missing").otherwise("later"))
@@ -125,14 +123,19 @@ def orphan_references(notes: DataFrame, note_links: DataFrame, repositories: Dat
     by_id = refs.filter("target_id is not null")
     relative = refs.filter("target_id is null")
 
-    out = _orphans(spark, plain, live, ["vault_id", "path"], bits)
-    out = out.unionByName(_orphans(spark, to_files, by_path, ["repository_id", "path"], bits))
     ids = file_rows.groupBy(F.col("source_id").alias("target_id")).agg(F.min("created_at").alias("created_at"))
-    out = out.unionByName(_orphans(spark, by_id, ids, ["target_id"], bits))
+    # Repeated keys set the same bits, so the filter is built from the scans as they are, without a shuffle.
+    keys = note_rows.filter("deleted_at is null and path is not null").select(_key("note", "vault_id", "path").alias("key"))
+    keys = keys.unionByName(file_rows.filter("path is not null").select(_key("file", "repository_id", "path").alias("key"))).unionByName(file_rows.select(_key("id", "source_id").alias("key")))
+    shared = spark.sparkContext.broadcast(build_filter(keys, bits))
+
+    out = _orphans(plain, live, "note", ["vault_id", "path"], shared)
+    out = out.unionByName(_orphans(to_files, by_path, "file", ["repository_id", "path"], shared))
+    out = out.unionByName(_orphans(by_id, ids, "id", ["target_id"], shared))
 
     # Relative imports: all candidates are tested, the first that exists decides.
     tried = relative.select("*", F.posexplode_outer(import_candidates(F.col("source_path"), F.col("target_path"))).alias("pos", "path"))
-    tested = _split(spark, tried.withColumn("key", _key("repository_id", "path")), by_path.select(_key("repository_id", "path").alias("key")), bits)
+    tested = _tested(tried.withColumn("key", _key("file", "repository_id", "path")), shared)
     ref_keys = ["ref_table", "source_id", "target_path"]
     hits = tested.filter("possible and path is not null").join(by_path, ["repository_id", "path"]).groupBy(*ref_keys).agg(F.min(F.struct("pos", "created_at")).alias("hit"))
     resolved = relative.join(hits, ref_keys, "left")

@@ -23,10 +23,14 @@ HEADLINE_WORDS, SNIPPET_CHARS = 30, 200
 STOP_WORDS = tuple("a an and are as at be but by for from had has have he her his if in into is it its no not of on or she so such than that the their then there these they this to was were will with you".split())
 
 
+def words_of(text: Column) -> Column:
+    """Tokens of a text in order, stop words among them."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+
+
 def tokens(text: Column) -> Column:
     """Tokens of a text in order, stop words left out."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    return F.filter(words_of(text), lambda w: ~w.isin(*STOP_WORDS))
 
 
 class Clause(NamedTuple):
@@ -92,6 +96,13 @@ def headline(query: str, text: Column) -> Column:
     return F.regexp_replace(F.array_join(F.slice(parts, start, HEADLINE_WORDS), " "), pattern, "<b>$1</b>")
 
 
+def may_match(query: str, text: Column) -> Column:
+    """What a text must contain to match: a plain substring test, run before any text is split."""
+    low = F.lower(text)
+    needed = [g for g in parse_query(query) if not any(c.negated for c in g)]
+    return reduce(Column.__and__, (reduce(Column.__or__, (reduce(Column.__and__, (low.contains(w) for w in c.words)) for c in g)) for g in needed), F.lit(True))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in doubles; null if either vector is null, empty or zero."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -99,48 +110,82 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def cosine_to(a: Column, vector: list[float]) -> Column:
+    """Cosine similarity to one known vector, whose length is computed once; null for null, empty and zero vectors."""
+    length = sum(float(x) ** 2 for x in vector) ** 0.5
+    unit = F.array(*(F.lit(float(x)) for x in vector))
+    both = F.aggregate(
+        F.zip_with(a, unit, lambda x, y: F.struct((x.cast("double") * y).alias("d"), (x.cast("double") * x.cast("double")).alias("n"))),
+        F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("n")),
+        lambda s, v: F.struct((s["d"] + v["d"]).alias("d"), (s["n"] + v["n"]).alias("n")),
+    )
+    return both["d"] / F.nullif(F.sqrt(both["n"]) * F.lit(length), F.lit(0.0))
+
+
+def _top(scored: DataFrame, limit: int) -> DataFrame:
+    """(kind, id, score, rank): the best of each kind. Scores are narrow rows, so repeated items cost little to drop;
+    each task keeps only its own best before the shuffle."""
+    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("score"), "id"))
+    return scored.distinct().withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def keyword_hits(items: DataFrame, query: str) -> DataFrame:
+    """(kind, id, score) of all items that match."""
+    text = F.concat_ws(" ", "title", "text")
+    phrases = any(len(c.words) > 1 for g in parse_query(query) for c in g)
+    hits = items.filter(may_match(query, text)).select("kind", "id", (tokens(text) if phrases else words_of(text)).alias("t"))
+    return hits.filter(matches(query, F.col("t"))).select("kind", "id", term_frequency(query, F.col("t")).cast("double").alias("score"))
+
+
+def vector_hits(items: DataFrame, vector: list[float]) -> DataFrame:
+    """(kind, id, score) of all items with a vector; there is no similarity floor."""
+    scored = items.filter("embedding is not null").select("kind", "id", F.round(cosine_to(F.col("embedding"), vector), 6).alias("score"))
+    return scored.filter("score is not null")
+
+
+def with_snippets(items: DataFrame, top: DataFrame, snippet: Column) -> DataFrame:
+    """``top`` with snippets from the items' texts; at most a few dozen rows are sent to find them."""
+    found = items.select("kind", "id", "text").join(F.broadcast(top), ["kind", "id"])
+    return found.select(*top.columns, snippet.alias("snippet")).dropDuplicates(["kind", "id"])
+
+
 def keyword_branch(items: DataFrame, query: str, limit: int = CANDIDATES) -> DataFrame:
-    """(kind, id, score, snippet) of the best keyword hits."""
-    scored = items.withColumn("t", tokens(F.concat_ws(" ", "title", "text"))).filter(matches(query, F.col("t")))
-    top = scored.select("kind", "id", "text", term_frequency(query, F.col("t")).cast("double").alias("score")).orderBy(F.desc("score"), "kind", "id").limit(limit)
-    return top.select("kind", "id", "score", headline(query, F.col("text")).alias("snippet"))
+    """(kind, id, score, snippet) of the best keyword hits of all kinds together."""
+    top = keyword_hits(items, query).distinct().orderBy(F.desc("score"), "kind", "id").limit(limit)
+    return with_snippets(items, top, headline(query, F.col("text")))
 
 
 def vector_branch(items: DataFrame, vector: list[float], limit: int = CANDIDATES) -> DataFrame:
-    """(kind, id, score, snippet) of the nearest items; there is no similarity floor."""
-    literal = F.array(*(F.lit(float(x)) for x in vector))
-    near = items.filter("embedding is not null").select("kind", "id", "text", F.round(cosine(F.col("embedding"), literal), 6).alias("score")).filter("score is not null")
-    top = near.orderBy(F.desc("score"), "kind", "id").limit(limit)
-    return top.select("kind", "id", "score", F.left(F.coalesce("text", F.lit("")), F.lit(SNIPPET_CHARS)).alias("snippet"))
+    """(kind, id, score, snippet) of the nearest items of all kinds together."""
+    top = vector_hits(items, vector).distinct().orderBy(F.desc("score"), "kind", "id").limit(limit)
+    return with_snippets(items, top, F.left(F.coalesce("text", F.lit("")), F.lit(SNIPPET_CHARS)))
 
 
-def fuse(branches: list[tuple[DataFrame, bool]], limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """(kind, id, score, snippet) of ranked branches by reciprocal rank; keyword branches' snippets win.
-
-    Ties keep the order in which items first appear, by branch and then by rank.
-    """
-    parts = []
-    for no, (df, keyword) in enumerate(branches):
-        # At most ``CANDIDATES`` rows reach this window, so one task is enough.
-        rank = F.row_number().over(W.orderBy(F.desc("score"), "kind", "id")) - 1
-        parts.append(df.select("kind", "id", "snippet", rank.alias("rank"), F.lit(no).alias("branch"), F.lit(keyword).alias("keyword")))
-    every = reduce(DataFrame.unionByName, parts)
-    fused = every.groupBy("kind", "id").agg(
-        F.sum(1.0 / (F.lit(RRF_K) + F.col("rank") + 1)).alias("score"),
-        F.max_by("snippet", F.struct("keyword", "branch")).alias("snippet"),
+def fuse(ranked: DataFrame) -> DataFrame:
+    """(kind, id, score, by_keyword, first) of ranked candidates by reciprocal rank. Columns in: kind, id, branch, rank
+    (from 1), keyword."""
+    return ranked.groupBy("kind", "id").agg(
+        F.round(F.sum(1.0 / (F.lit(RRF_K) + F.col("rank"))), 9).alias("score"),
+        F.max("keyword").alias("by_keyword"),
         F.min(F.struct("branch", "rank")).alias("first"),
     )
-    top = fused.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "first").limit(min(max(limit, 1), MAX_LIMIT))
-    return top.select("kind", "id", "score", "snippet")
 
 
 def hybrid_search(items: DataFrame, query: str, vector: list[float], limit: int = DEFAULT_LIMIT, scope: DataFrame | None = None) -> DataFrame:
-    """Best items for a query and its vector. ``scope``: (kind, scope_id) of what the caller may see; None is all."""
+    """(kind, id, score, snippet): best items for a query and its vector, in order.
+
+    Four branches (vectors and keywords, notes and code) give at most ``CANDIDATES`` each; ties keep the order in which
+    items first appear, by branch and then by rank. ``scope``: (kind, scope_id) of what the caller may see; None is all.
+    """
     if not (query or "").strip():
         return items.sparkSession.createDataFrame([], f"kind string, id {items.schema['id'].dataType.simpleString()}, score double, snippet string")
-    seen = items.dropDuplicates(["kind", "id"]) if scope is None else items.join(scope.distinct(), ["kind", "scope_id"], "left_semi").dropDuplicates(["kind", "id"])
-    notes, code = seen.filter("kind = 'note'"), seen.filter("kind = 'code'")
-    return fuse([(vector_branch(notes, vector), False), (vector_branch(code, vector), False), (keyword_branch(notes, query), True), (keyword_branch(code, query), True)], limit)
+    seen = items if scope is None else items.join(scope.distinct(), ["kind", "scope_id"], "left_semi")
+    code = (F.col("kind") == "code").cast("int")
+    near = _top(vector_hits(seen, vector), CANDIDATES).select("kind", "id", "rank", code.alias("branch"), F.lit(False).alias("keyword"))
+    hits = _top(keyword_hits(seen, query), CANDIDATES).select("kind", "id", "rank", (code + 2).alias("branch"), F.lit(True).alias("keyword"))
+    top = fuse(near.unionByName(hits)).orderBy(F.desc("score"), "first").limit(min(max(limit, 1), MAX_LIMIT))
+    text = F.when(F.col("by_keyword"), headline(query, F.col("text"))).otherwise(F.left(F.coalesce("text", F.lit("")), F.lit(SNIPPET_CHARS)))
+    return with_snippets(items, top, text).orderBy(F.desc("score"), "first").select("kind", "id", "score", "snippet")
 
 
 def postings(items: DataFrame) -> DataFrame:
