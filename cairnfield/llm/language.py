@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnfield.functions.arrow import map_rows, spread
@@ -177,10 +178,11 @@ def label_code(column: Column) -> Column:
 def fit(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS, fit_sentences: int = FIT_SENTENCES) -> ByteNetwork:
     """A network fitted on at most ``fit_documents`` labelled documents and ``fit_sentences`` sentences a language."""
     labelled = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", label_code(F.col("lang")).alias("label")).filter("label is not null and text is not null")
-    samples = None
-    for lang in LANGUAGES:
-        part = labelled.filter(F.col("label") == lang).select("label", "text", F.xxhash64("doc_id").alias("by"), "doc_id").orderBy("by", "doc_id").limit(fit_documents)
-        samples = part if samples is None else samples.unionByName(part)
+    # The sample is chosen by ids alone; only its own texts, a bounded number, are read after that.
+    ids = labelled.select("label", "doc_id", F.xxhash64("doc_id").alias("by")).distinct()
+    rank = F.row_number().over(W.partitionBy("label").orderBy("by", "doc_id"))
+    chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= fit_documents).select("label", "doc_id", "by")
+    samples = labelled.drop("label").join(F.broadcast(chosen), "doc_id").select("label", "by", "text").distinct()
 
     def kernel(columns: list[list]):
         for label, by, text in zip(*columns):
