@@ -31,6 +31,7 @@ CODES = {"en": ("en", "eng"), "de": ("de", "deu", "ger"), "fr": ("fr", "fra", "f
 FIT_DOCUMENTS, FIT_SENTENCES = 400, 900
 WINDOW, STRIDE = 96, 64
 WIDTHS, FILTERS = (2, 3, 4, 5), 24
+LEAST_STEPS = 400
 #: Words that make a sentence, and the confidence from which its language counts.
 LEAST_WORDS, SURE = 4, 0.85
 
@@ -127,7 +128,8 @@ class ByteNetwork:
         return z / z.sum(1, keepdims=True)
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 20, rate: float = 4e-3, batch: int = 32, seed: int = 3) -> None:
-        """Adam on the cross-entropy, with a fifth of the pooled values dropped at random."""
+        """Adam on the cross-entropy, with a fifth of the pooled values dropped at random; small samples are read more often."""
+        epochs = max(epochs, -(-LEAST_STEPS // -(-len(x) // batch)))
         rng = np.random.default_rng(seed)
         params = [*self.tables, *self.bias, self.out, self.out_bias]
         first, second = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]

@@ -37,7 +37,7 @@ PATTERNS = {
         r"|(?<![\w.+@-])[\w.+'-]*[\w+] @ [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]|\.[A-Za-z0-9])"
         r"|(?<![\w.+@-])[\w.+-]*\w at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot [A-Za-z]{2,}(?!\w)"
     ),
-    "phone": re.compile(r"(?<![\w.,/:#$€£-])(?:\+\d{1,3}[ .-]?)?(?:\(0?\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]\d{1,5}|/\d{3,8}){1,6}(?![\w/]|[.,:]\d|-\w)|(?<![\w.])(?:\+|00)\d{9,14}(?!\w)|(?<![\w.,/:#-])0\d{9,11}(?!\w|[.,:]\d)"),
+    "phone": re.compile(r"(?<![\w.,/:#$€£-])(?:\+\d{1,3}[ .-]?)?(?:\(0?\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]\d{1,8}|/\d{3,8}){1,6}(?![\w/]|[.,:]\d|-\w)|(?<![\w.])(?:\+|00)\d{9,14}(?!\w)|(?<![\w.,/:#-])0\d{9,11}(?!\w|[.,:]\d)"),
     "id_number": re.compile(r"(?<![\w.,/:#$€£-])(?:[A-Z]{1,4}-?)?\d(?:[\d -]{4,18})\d(?:[ -]?[A-Z]\d?)?(?![\w/]|[.,:]\d|-\w)|(?<![\w.,/:#-])[A-Z]{1,2}[A-Z\d]{1,3}\d{4,9}[A-Z\d]{0,3}(?![\w-])"),
     "street_address": re.compile(
         rf"(?<![\w.,/-])\d{{1,5}}[a-zA-Z]? (?:{WORD} ){{1,3}}(?:Street|St\.|St\b|Avenue|Ave|Road|Rd|Lane|Ln|Close|Boulevard|Blvd|Drive|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Row|Crescent|Hill|Gardens|Parkway|Pkwy|Alley|Mews)(?!\w)"

@@ -32,7 +32,7 @@ BANDS, ROWS, HASHES = 12, 5, 128
 #: Share of equal hashes from which two files count as near-copies; set for similarities of 0.8 and more.
 AGREE = 0.75
 
-BASE = -2.5
+BASE = -2.0
 # Log-odds that a piece of evidence adds to its label.
 BANNER, HEADER, SEQUENCE, LOCK, DENSE, DATA, COPIED, SUFFIX, PACKAGE_LINE = 9.0, 9.0, 8.0, 12.0, 9.0, 10.0, 8.0, 4.0, 8.0
 # Probability of a child's label (columns) under its parent's (rows).
@@ -238,14 +238,18 @@ def down(over: np.ndarray) -> np.ndarray:
     return _scaled(_lse(over[:, None, :] + LOG_COMPATIBLE.T[None]))
 
 
-def _with_up(df: DataFrame, keep: list[str]) -> DataFrame:
+def _with_up(df: DataFrame, keep: list[str], leaves: bool = False) -> DataFrame:
     """``df`` with the message that each row's ``phi`` sends to its parent, as ``up``."""
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def kernel(columns: list[list]):
         if columns[-1]:
-            for row in zip(*columns, up(np.array(columns[-1])).tolist()):
-                yield row
+            phi = np.array(columns[-1])
+            sent = up(phi)
+            # What is handwritten for being empty, a setting or a text says nothing about its folder.
+            if leaves:
+                sent[phi[:, 0] > 5] = 0.0
+            yield from zip(*columns, sent.tolist())
 
     return map_rows(df, [*keep, "phi"], kernel, f"{kinds}, phi array<double>, up array<double>")
 
@@ -266,7 +270,7 @@ def labelled_files(files: DataFrame) -> DataFrame:
     leaf = features.drop("bands", "sig").join(copies, "file_id", "left")
     added = F.when((F.col("repositories") > 1) & (F.col("phi")[0] < 20), COPIED).otherwise(0.0)
     leaf = leaf.withColumn("phi", F.array(*(F.col("phi")[k] + (added if k == 3 else F.lit(0.0)) for k in range(5))))
-    leaf = cut(_with_up(leaf.withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))), ["file_id", "repository_id", "dir", "depth"]))
+    leaf = cut(_with_up(leaf.withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))), ["file_id", "repository_id", "dir", "depth"], leaves=True))
 
     # Directories with what their files say; ancestors without files of their own are added.
     own = leaf.groupBy("repository_id", "dir", "depth").agg(_sum("up").alias("below"))
