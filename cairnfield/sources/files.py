@@ -33,7 +33,7 @@ def read_tree(spark: SparkSession, root: str, ignore: str = IGNORED) -> DataFram
     """(path, language, content, size) of the text files under a folder that the ignore pattern leaves."""
     spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = raw.select(_relative(root).alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").cast("int").alias("size"))
+    rows = raw.select(_relative(root).alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").cast("int").alias("size"))
     return rows.filter(~F.col("path").rlike(ignore)).select("path", language_of(F.col("path")).alias("language"), "content", "size")
 
 
