@@ -242,3 +242,39 @@ def chunks(text: str, size: int) -> list[str]:
         out.append(text[at:end])
         at = end
     return out or [""]
+
+
+BRACKET = re.compile(r"[()\[\]{}]")
+
+
+def balanced(mask: str, at: int) -> int:
+    """Place after the bracket that closes the one at ``at``; the text's end if none does."""
+    depth = 0
+    for m in BRACKET.finditer(mask, at):
+        if m[0] in "([{":
+            depth += 1
+        else:
+            depth -= 1
+            if depth <= 0:
+                return m.end()
+    return len(mask)
+
+
+def body_brace(mask: str, at: int) -> int:
+    """Place of the brace that opens the body after parameters that end at ``at``; -1 if there is no body."""
+    first = at
+    while True:
+        m = re.compile(r"[{;\n]").search(mask, at)
+        if not m:
+            return -1 if mask[first:].strip() else len(mask)
+        if m[0] == ";":
+            return -1
+        before = mask[first : m.start()].rstrip()
+        if m[0] == "\n":
+            if before and before[-1] not in ":|&<,(>" and not mask[m.end() :].lstrip().startswith(("{", "|", "&")):
+                return -1
+            at = m.end()
+        elif before and (before[-1] in ":|&<,(" or before.endswith("=>")):
+            at = balanced(mask, m.start())  # a type made of braces
+        else:
+            return m.start()

@@ -38,22 +38,6 @@ def _mask(text: str, language: str) -> str:
     return mask + lexing.BLANK.sub(" ", text[len(mask) :])
 
 
-def _block_end(mask: str, at: int) -> int:
-    """Place after the braces that open next; -1 if a statement ends before any opens."""
-    depth = 0
-    for m in re.compile(r"[{};]|\n\n").finditer(mask, at):
-        c = m[0]
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth <= 0:
-                return m.end()
-        elif c == ";" and not depth:
-            return -1
-    return len(mask)
-
-
 def _indent_end(text: str, mask: str, at: int) -> int:
     """Place after the indented body of the definition at ``at``."""
     indent = at - mask.rfind("\n", 0, at) - 1
@@ -88,18 +72,23 @@ def symbols(text: str, language: str) -> Iterator[tuple[str, str, int, int]]:
                 stop = mask.find("\n", begin)
                 end = stop if stop >= 0 else len(mask)
             else:
-                params = mask.find("(", begin)
-                at = begin
-                if kind == "function" and params >= 0:
-                    depth = 0
-                    for b in re.compile(r"[()]").finditer(mask, params):
-                        depth += 1 if b[0] == "(" else -1
-                        if not depth:
-                            at = b.end()
-                            break
-                end = _block_end(mask, at)
-                if end < 0:
+                after = begin
+                if kind == "function":
+                    # Type parameters and a receiver come before the parameters.
+                    name_end = m.end(2)
+                    params = mask.find("(", name_end)
+                    if params < 0:
+                        continue
+                    after = lexing.balanced(mask, params)
+                if language == "go":
+                    line_end = mask.find("\n", after)
+                    brace = mask.rfind("{", after, line_end if line_end >= 0 else len(mask))
+                    brace = brace if kind == "function" else mask.find("{", after)
+                else:
+                    brace = lexing.body_brace(mask, after) if kind == "function" else mask.find("{", after)
+                if brace < 0:
                     continue  # a signature without a body
+                end = lexing.balanced(mask, brace)
             start = mask.count("\n", 0, begin) + 1
             yield m[2], kind, start, start + text.count("\n", begin, max(begin, end - 1))
 
