@@ -29,7 +29,6 @@ ISLAND = {
 }
 ISLAND["typescript"] = ISLAND["javascript"]
 BEFORE_FUNCTION = re.compile(r"(?:^|[\n;{}])[ \t\r]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?\Z")
-BRACKET = re.compile(r"[()\[\]{}]")
 DOC_STRING = re.compile(r"""[ \t]*(?:[rRuU]?)(\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+')""")
 
 # Tool directives, which document nothing.
@@ -68,39 +67,6 @@ def unwrap(comment: str) -> str:
     return "\n".join(re.sub(r"^\s*//[/!]? ?", "", line) for line in comment.split("\n")).strip()
 
 
-def balanced(mask: str, at: int) -> int:
-    """Place after the bracket that closes the one at ``at``; the text's end if none does."""
-    depth = 0
-    for m in BRACKET.finditer(mask, at):
-        if m[0] in "([{":
-            depth += 1
-        else:
-            depth -= 1
-            if depth <= 0:
-                return m.end()
-    return len(mask)
-
-
-def body_brace(mask: str, at: int) -> int:
-    """Place of the brace that opens the body after parameters that end at ``at``; -1 if there is no body."""
-    first = at
-    while True:
-        m = re.compile(r"[{;\n]").search(mask, at)
-        if not m:
-            return -1 if mask[first:].strip() else len(mask)
-        if m[0] == ";":
-            return -1
-        before = mask[first : m.start()].rstrip()
-        if m[0] == "\n":
-            if before and before[-1] not in ":|&<,(>" and not mask[m.end() :].lstrip().startswith(("{", "|", "&")):
-                return -1
-            at = m.end()
-        elif before and (before[-1] in ":|&<,(" or before.endswith("=>")):
-            at = balanced(mask, m.start())  # a type made of braces
-        else:
-            return m.start()
-
-
 def block_above(text: str, line_start: int) -> str | None:
     """The block comment that ends on the line before ``line_start`` and is the last thing on that line."""
     above = text[:line_start].rstrip("\r\n") if line_start else ""
@@ -134,9 +100,9 @@ def lines_above(text: str, line_start: int) -> str | None:
 
 def python_doc(text: str, mask: str, at: int) -> tuple[str | None, int]:
     """Documentation of the function whose parameters open at ``at``, and the place after its body."""
-    end = balanced(mask, at)
+    end = lexing.balanced(mask, at)
     if mask[at] == "[":
-        end = balanced(mask, mask.find("(", end)) if "(" in mask[end : end + 2] else end
+        end = lexing.balanced(mask, mask.find("(", end)) if "(" in mask[end : end + 2] else end
     colon, depth = -1, 0
     for m in re.finditer(r"[()\[\]{}:\n]", mask[end:]):
         c = m[0]
@@ -227,20 +193,20 @@ def islands(text: str, language: str) -> Iterator[tuple[str, int, int, int, int,
                 if at < 0:
                     continue
             elif mask[at] == "[":
-                at = balanced(mask, at)
-            after = balanced(mask, at)
+                at = lexing.balanced(mask, at)
+            after = lexing.balanced(mask, at)
             if language == "go":
                 line_end = mask.find("\n", after)
                 brace_at = mask.find("{", after, line_end if line_end >= 0 else len(mask))
-                end = balanced(mask, mask.rfind("{", after, line_end if line_end >= 0 else len(mask))) if brace_at >= 0 else after
+                end = lexing.balanced(mask, mask.rfind("{", after, line_end if line_end >= 0 else len(mask))) if brace_at >= 0 else after
                 comment = block_above(text, line_start)
                 if comment is None:
                     comment = lines_above(text, line_start)
             else:
-                brace = body_brace(mask, after)
+                brace = lexing.body_brace(mask, after)
                 if brace < 0:
                     continue  # a signature without a body declares no function
-                end = balanced(mask, brace)
+                end = lexing.balanced(mask, brace)
                 comment = block_above(text, line_start) if not mask[line_start:begin].strip() else None
                 if comment is not None and (not comment.startswith("/**") or comment.startswith("/**/")):
                     comment = None
