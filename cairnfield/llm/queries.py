@@ -41,4 +41,10 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": """
             select 'notes' as item_table, id as item_id from notes where length(body) > 6000
             union select 'repository_files', id from repository_files where length(content) > 6000""",
+        "p9_found": r"""
+            with doc as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from (select distinct doc_id, text from documents)),
+            item as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from (select distinct item_id, text from eval_items)),
+            runs as (select doc_id, array_to_string(w[n : n + 12], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 11)) as n from doc)),
+            wanted as (select item_id, array_to_string(w[n : n + 12], ' ') as run from (select item_id, w, unnest(range(1, len(w) - 11)) as n from item))
+            select distinct doc_id, item_id from runs join wanted using (run)""",
     }
