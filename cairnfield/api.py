@@ -13,6 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfield.functions.shipping import ship
 from cairnfield.operators import access, admin, code, embedding, graph, ingest, search, store
 from cairnfield.operators.references import orphan_references, orphan_report
 from cairnfield.sources.tables import table
@@ -29,6 +30,7 @@ class Graph(NamedTuple):
 class Engine:
     def __init__(self, spark: SparkSession, frames: dict[str, DataFrame]) -> None:
         self.spark, self.frames = spark, frames
+        ship(spark)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> Engine:
