@@ -52,6 +52,7 @@ FOLDERS = {
     "minified": ("dist", "min"),
     "blob": ("blobs",),
 }
+HOME = 8.0
 FOLDER_WEIGHT = {"vendored": 6.0, "generated": 5.0, "minified": 1.5, "blob": 1.5}
 
 MADE = re.compile(
@@ -259,8 +260,12 @@ def _sum(name: str) -> Column:
 
 
 def _folder_evidence() -> Column:
-    last = F.lower(F.element_at(F.split("dir", "/"), -1))
-    return F.array(F.lit(0.0), *(F.when(last.isin(*FOLDERS[label]), FOLDER_WEIGHT[label]).otherwise(0.0) for label in LABELS[1:]))
+    """Log-evidence of a folder's name. A folder outside of all named ones is somebody's own until much speaks against it."""
+    parts = F.split(F.lower("dir"), "/")
+    last = F.element_at(parts, -1)
+    every = [name for names in FOLDERS.values() for name in names]
+    own = F.when(F.exists(parts, lambda p: p.isin(*every)), 0.0).otherwise(HOME)
+    return F.array(own, *(F.when(last.isin(*FOLDERS[label]), FOLDER_WEIGHT[label]).otherwise(0.0) for label in LABELS[1:]))
 
 
 def labelled_files(files: DataFrame) -> DataFrame:
