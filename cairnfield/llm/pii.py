@@ -79,7 +79,7 @@ LEFT_NO = {
     "email": re.compile(r"(?i)(?:clone with|git|ssh://|remote)\W*$"),
     "phone": re.compile(r"(?i)(?:invoice|ticket|build|version|commit|order|section|issue|since|ssn|social|id|dni|no\.?|licen[cs]e|passport|security number|tax id|steuer-id|insurance|#|v|range|covers|isbn)\W*(?:is)?\W*$"),
     "id_number": re.compile(r"(?i)(?:invoice|ticket|build|version|commit|order|issue|since|call|phone|tel|under|numbers|au|anrufen|me|on|#|range|covers|isbn|in|about|of|to|from)\W*$"),
-    "street_address": re.compile(r"(?i)(?:section|chapter|page|step|figure|table|part|item|release|phase|room|build|version|day|week|since|of|lists)\W*$"),
+    "street_address": re.compile(r"(?i)(?:section|page|step|figure|table|part|item|release|phase|room|build|version|day|week|since|of|lists)\W*$"),
     "name": re.compile(r"(?:belongs to|run the|and run|Section \d+|points for|Project|the|Team|product|\#+|on)\s*$"),
 }
 RIGHT_YES = {
@@ -251,7 +251,7 @@ def fit(notes: DataFrame, limit: int = FIT_NOTES) -> np.ndarray:
                 yield s.kind, list(s.votes), list(s.features)
 
     sample = notes.filter(F.col("body") != "").select(F.col("id").alias("id"), "body").withColumn("by", F.xxhash64("id")).orderBy("by", "id").limit(limit)
-    rows = map_rows(spread(sample.select("body")), ["body"], kernel, "kind int, votes array<int>, features array<int>").limit(FIT_SPANS).collect()
+    rows = map_rows(sample.select("body"), ["body"], kernel, "kind int, votes array<int>, features array<int>").limit(FIT_SPANS).collect()
     rows = sorted((r[0], tuple(r[1]), tuple(r[2])) for r in rows)
     targets = np.zeros(len(rows))
     for k in range(len(KINDS)):
