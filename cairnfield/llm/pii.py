@@ -251,7 +251,9 @@ def fit(notes: DataFrame, limit: int = FIT_NOTES) -> np.ndarray:
                 yield s.kind, list(s.votes), list(s.features)
 
     sample = notes.filter(F.col("body") != "").select(F.col("id").alias("id"), "body").withColumn("by", F.xxhash64("id")).orderBy("by", "id").limit(limit)
-    rows = map_rows(sample.select("body"), ["body"], kernel, "kind int, votes array<int>, features array<int>").limit(FIT_SPANS).collect()
+    # The sample is small and arrives as one partition; its bodies are dealt out to all cores.
+    dealt = sample.select("body").repartition(max(1, notes.sparkSession.sparkContext.defaultParallelism))
+    rows = map_rows(dealt, ["body"], kernel, "kind int, votes array<int>, features array<int>").limit(FIT_SPANS).collect()
     rows = sorted((r[0], tuple(r[1]), tuple(r[2])) for r in rows)
     targets = np.zeros(len(rows))
     for k in range(len(KINDS)):
