@@ -138,7 +138,9 @@ def keyword_hits(items: DataFrame, query: str) -> DataFrame:
 
 
 def vector_hits(items: DataFrame, vector: list[float]) -> DataFrame:
-    """(kind, id, score) of all items with a vector; there is no similarity floor."""
+    """(kind, id, score) of all items with a vector; there is no similarity floor. An empty vector is near nothing."""
+    if not len(vector):
+        return items.select("kind", "id", F.lit(0.0).alias("score")).limit(0)
     scored = items.filter("embedding is not null").select("kind", "id", F.round(cosine_to(F.col("embedding"), vector), 6).alias("score"))
     return scored.filter("score is not null")
 

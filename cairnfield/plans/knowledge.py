@@ -25,7 +25,8 @@ def items(t: Tables) -> DataFrame:
 
 def _probe(t: Tables) -> list[float]:
     """The stored vector that stands for the query's."""
-    return t("embeddings").orderBy("vec_id").select("embedding").first()[0]
+    first = t("embeddings").orderBy("vec_id").select("embedding").first()
+    return first[0] if first else []
 
 
 def _scope(t: Tables) -> DataFrame:

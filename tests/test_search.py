@@ -41,6 +41,7 @@ def test_scope_is_inside_and_blank_finds_nothing(spark):
     assert rows(search.hybrid_search(items(spark), "guidance", [1.0, 0.0], scope=scope)) == []
     assert rows(search.hybrid_search(items(spark), "  ", [1.0, 0.0])) == []
     assert rows(search.hybrid_search(items(spark).limit(0), "guidance", [1.0, 0.0])) == []
+    assert [r["id"] for r in search.hybrid_search(items(spark), "milk", []).collect()] == [3]
 
 
 @pytest.mark.parametrize(("query", "ids"), [("guidance -rocket", [1]), ('"guidance software"', [1]), ('"software guidance"', []), ("rocket or milk", [2, 3])])
