@@ -3,8 +3,8 @@
 An island grammar a language: documentation, annotations, signatures and balanced bodies are parsed, the rest is water
 that is skipped. Comments and literals are blanked first (``lexing.scan``), so nothing inside them looks like code.
 
-Results: a function counts once, however often its file or symbol row was delivered; files with null content or an
-unknown language have none. Line numbers are 1-based and count ``\\n``. A body that a truncated file leaves open runs to
+Results: a function counts once, however often its file or symbol row was delivered; a file whose language is null has
+the one of its path; files with null content or an unknown language have none. Line numbers are 1-based and count ``\\n``. A body that a truncated file leaves open runs to
 the file's end. Texts are read whole.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.functions.arrow import map_rows, spread
 from cairnfield.functions import lexing
+from cairnfield.functions.paths import language_of
 
 LANGUAGES = ("typescript", "javascript", "python", "go")
 
@@ -217,8 +218,8 @@ def islands(text: str, language: str) -> Iterator[tuple[str, int, int, int, int,
 
 def documented_functions(files: DataFrame) -> DataFrame:
     """(file_id, language, name, start_line, end_line, code, documentation) of every function that says what it does."""
-    named = files.filter(F.lower("language").isin(*LANGUAGES) & F.col("content").isNotNull())
-    source = named.select(F.col("id").cast("bigint").alias("file_id"), F.lower("language").alias("language"), "content")
+    language = F.coalesce(F.lower("language"), language_of(F.col("path")))
+    source = files.select(F.col("id").cast("bigint").alias("file_id"), language.alias("language"), "content").filter(F.col("language").isin(*LANGUAGES) & F.col("content").isNotNull())
 
     def kernel(columns: list[list]):
         for i, language, text in zip(*columns):

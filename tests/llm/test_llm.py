@@ -103,6 +103,14 @@ def test_pairs_need_a_true_line(spark):
     assert rows(functions.documented_symbols(f.limit(0), s.limit(0))) == []
 
 
+def test_a_null_language_is_that_of_the_path(spark):
+    text = "/** Counts all rows of the page. */\nfunction one() {\n}\n"
+    f = files(spark, [(1, 1, "src/a.TS", None, text), (2, 1, "b.py", None, 'def one():\n    """Counts all rows of the page."""\n'), (3, 1, "c.txt", None, text), (4, 1, None, None, text), (5, 1, "e.js", "ruby", text)])
+    s = spark.createDataFrame([(i, i, "one", "function", 1 if i == 2 else 2, 3) for i in range(1, 6)], "id bigint, file_id bigint, name string, kind string, start_line int, end_line int")
+    assert rows(functions.documented_symbols(f, s)) == [(1, "one", 2), (2, "one", 1)]
+    assert rows(functions.code_description_pairs(f, s).select("file_id", "language")) == [(1, "typescript"), (2, "python")]
+
+
 # 3
 
 
