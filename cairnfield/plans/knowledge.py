@@ -61,7 +61,8 @@ def _knn(t: Tables) -> DataFrame:
 
 
 def _semantic(t: Tables) -> DataFrame:
-    return embedding.semantic_edges(_knn(t), THRESHOLD)
+    """The similarity graph: either end may select an edge, so every vector asks."""
+    return embedding.semantic_edges(embedding.knn(_vectors(t)), THRESHOLD)
 
 
 def _extracted(t: Tables) -> DataFrame:
@@ -138,7 +139,7 @@ def queries() -> dict:
         "cosine_pairs": q(lambda t: t("embeddings").select("vec_id", "label", "embedding").join(t("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("probe"), "label", F.col("embedding").alias("other")), "label").select("vec_id", "probe", F.round(search.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))),
         "knn_topk": q(lambda t: _knn(t).select("key", "neighbour", "similarity", "rank")),
         "semantic_edges": q(_semantic),
-        "semantic_edges_replay": q(lambda t: embedding.replayed_edges(_vectors(t), threshold=THRESHOLD, queries=_asked(t))),
+        "semantic_edges_replay": q(lambda t: embedding.replayed_edges(_vectors(t), threshold=THRESHOLD)),
         "semantic_edges_scoped": q(lambda t: graph.scoped_semantic_edges(_semantic(t), _vectors(t).filter("key like 'note:%'").select("key"))),
         "missing_embeddings": q(lambda t: t("note_rows").filter("deleted_at is null").select("id").join(t("embeddings").select(F.col("vec_id").alias("id")), "id", "left_anti")),
         "nodes_union": q(lambda t: _nodes(t).select("key", "kind", "resource_id", "path", "type", "tags", "timestamp")),

@@ -77,3 +77,25 @@ def test_hash_embedding_is_unit(spark):
     df = spark.createDataFrame([(1, "Alpha beta alpha"), (2, None), (3, "---")], "id bigint, text string")
     got = embedding.hash_embedding(df, "id", F.col("text")).collect()
     assert {r["id"] for r in got} == {1} and abs(sum(r["value"] ** 2 for r in got) - 1) < 1e-5
+
+
+def test_registered_semantic_edges_ask_for_every_vector(spark, tmp_path):
+    from cairnfield.plans import catalog
+
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(130, 8)).astype(np.float32)
+    spark.createDataFrame([(i, m[i].tolist()) for i in range(130)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    key = lambda i: f"{'note' if i % 2 == 0 else 'code'}:{i}"
+
+    def brute(earlier):
+        out = set()
+        for i in range(130):
+            others = sorted((j for j in range(i if earlier else 130) if j != i), key=lambda j: (-sims[i, j], key(j)))[:8]
+            out |= {tuple(sorted((key(i), key(j)))) for j in others if sims[i, j] >= 0.3}
+        return out
+
+    got = {n: {(r["a"], r["b"]) for r in catalog.queries()[n](spark, str(tmp_path)).collect()} for n in ("semantic_edges", "semantic_edges_replay", "semantic_edges_scoped")}
+    assert got["semantic_edges"] == brute(False) and got["semantic_edges_replay"] == brute(True)
+    assert got["semantic_edges_scoped"] == {(a, b) for a, b in brute(False) if a.startswith("note:") and b.startswith("note:")}
