@@ -39,14 +39,20 @@ class Engine:
         engine._load = lambda name: table(spark, folder, name) if name in names else None  # type: ignore[attr-defined]
         return engine
 
-    def __getitem__(self, name: str) -> DataFrame:
+    def get(self, name: str) -> DataFrame | None:
+        """A table, loaded if it wasn't yet; None if this engine has none of that name."""
         if name not in self.frames:
             loaded = getattr(self, "_load", lambda _: None)(name)
             if loaded is None:
-                raise KeyError(f"no table {name}")
+                return None
             self.frames[name] = loaded
         return self.frames[name]
 
+    def __getitem__(self, name: str) -> DataFrame:
+        if (found := self.get(name)) is None:
+            raise KeyError(f"no table {name}")
+        return found
+
     def access(self) -> DataFrame:
         """(user_id, vault_id, access) of all active users."""
         return access.accessible_vaults(self["users"], self["vaults"], self["shares"], self["memberships"])
@@ -77,8 +83,8 @@ class Engine:
         live = self["notes"].filter("deleted_at is null").select("id", "vault_id", "body")
         groups = graph.structural_groups(nodes)
         parts = [graph.link_edges(live, nodes), graph.repository_link_edges(live, nodes, self["repositories"]), graph.import_edges(self["repository_file_imports"], nodes), graph.structural_edges(groups)]
-        if "semantic_edges" in self.frames:
-            parts.append(graph.scoped_semantic_edges(self["semantic_edges"], nodes))
+        if (stored := self.get("semantic_edges")) is not None:
+            parts.append(graph.scoped_semantic_edges(stored, nodes))
         return Graph(nodes, graph.all_edges(*parts), graph.capped_groups(groups))
 
     def semantic_edges(self, threshold: float = embedding.THRESHOLD, k: int = embedding.K) -> DataFrame:

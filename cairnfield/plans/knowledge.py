@@ -74,8 +74,13 @@ def _groups(t: Tables) -> DataFrame:
     return graph.structural_groups(_nodes(t))
 
 
+def _scoped_semantic(t: Tables) -> DataFrame:
+    return graph.scoped_semantic_edges(_semantic(t), _nodes(t))
+
+
 def _every_edge(t: Tables) -> DataFrame:
-    return graph.all_edges(_extracted(t), graph.structural_edges(_groups(t)))
+    """Edges of all three kinds."""
+    return graph.all_edges(_extracted(t), graph.structural_edges(_groups(t)), _scoped_semantic(t))
 
 
 def _merged(t: Tables) -> DataFrame:
@@ -87,7 +92,9 @@ def _merged(t: Tables) -> DataFrame:
 
 def _communities(t: Tables) -> DataFrame:
     scoped = _nodes(t).select(F.concat("kind", F.lit(":"), "resource_id").alias("scope"), "key")
-    return graph.communities(_extracted(t), scoped)
+    # A scope is a view of its own, so a group's size is that within the scope.
+    groups = _groups(t).join(scoped, "key").select(F.concat("scope", F.lit("|"), "group_key").alias("group_key"), "key")
+    return graph.communities(graph.all_edges(_extracted(t), graph.structural_edges(groups), _scoped_semantic(t)), scoped)
 
 
 def _modularity_ready(t: Tables) -> DataFrame:
@@ -156,9 +163,9 @@ def queries() -> dict:
         "edges_touching": q(lambda t: graph.touching(_extracted(t), graph.note_nodes(t("notes")).filter("type = 'people'").select("key"))),
         "merged_graph": q(lambda t: _merged(t).select("a", "b")),
         "backlinks": q(lambda t: graph.backlinks(t("note_links"))),
-        "components": q(lambda t: graph.components(_extracted(t), _nodes(t))),
+        "components": q(lambda t: graph.components(_every_edge(t), _nodes(t))),
         "communities": q(_modularity_ready),
-        "label_propagation": q(lambda t: graph.label_propagation(_extracted(t), _nodes(t))),
+        "label_propagation": q(lambda t: graph.label_propagation(_every_edge(t), _nodes(t))),
         "type_index": q(lambda t: type_index(t("notes"))),
         "validate_notes": q(lambda t: t("note_rows").select("id", problem_of(F.col("type"), F.col("name"), F.col("frontmatter"), F.col("body")).alias("problem"))),
         "parse_notes": q(_reparsed),

@@ -34,3 +34,16 @@ def test_engine(spark, folder):
     keys = {r[0] for r in g.nodes.select("key").collect()}
     assert {x for r in g.edges.select("a", "b").collect() for x in r} <= keys
     assert engine.search("note index", [1.0] * 64, user_id=-1).count() == 0
+
+
+def test_opened_engine_loads_the_stored_semantic_edges(spark, folder, tmp_path):
+    t = Tables(spark, folder)
+    frames = {n: t(n) for n in ("users", "memberships", "vaults", "shares", "repositories", "repository_shares", "repository_file_imports")} | {"notes": t("note_rows"), "repository_files": t("file_rows")}
+    engine = Engine(spark, frames)
+    user = engine.access().groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()[0]
+    a, b = sorted(r[0] for r in engine.graph(user_id=user).nodes.select("key").orderBy("key").limit(2).collect())
+    frames["semantic_edges"] = spark.createDataFrame([(a, b, 0.9)], "a string, b string, similarity double")
+    for name, df in frames.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    edges = Engine.open(spark, str(tmp_path)).graph(user_id=user).edges
+    assert [tuple(r) for r in edges.filter("kind = 'semantic'").collect()] == [(a, b, "semantic")]

@@ -102,3 +102,26 @@ def test_communities_and_propagation(spark):
     assert got["a"] == got["b"] == got["c"] != got["x"] == got["y"] and len(got) == 6
     labels = dict(rows(graph.label_propagation(edges, nodes.select("key"))))
     assert labels["a"] == labels["b"] == labels["c"] == "a" and labels["z"] == "z"
+
+
+def test_registered_graphs_hold_every_kind_of_edge(spark, tmp_path):
+    from cairnfield.plans import catalog
+
+    note = lambda i, vault, kind: (i, vault, kind, f"n{i}", f"{kind}/n{i}", "{}", "", None)
+    # The type is above the cap in the whole graph, but not within vault 1.
+    notes = [note(2, 1, "people"), note(4, 1, "people"), note(6, 1, "plans"), note(8, 1, "logs"), *(note(i, 9, "people") for i in range(100, 151))]
+    frames = {
+        "notes": (notes, NOTE),
+        "repository_files": ([(1, 5, "x/a.go", "go", ""), (3, 5, "y/b.py", "python", ""), (5, 5, "y/c.rs", "rust", "")], FILE),
+        "repositories": ([(5, "my-repo")], "id bigint, name string"),
+        "repository_file_imports": ([], "source_file_id bigint, target_path string, resolved_target_file_id bigint"),
+        "embeddings": ([(1, [1.0, 0.0, 0.0]), (3, [0.9, 0.1, 0.0]), (6, [0.0, 0.0, 1.0]), (8, [0.0, 0.1, 0.9]), (77, [0.0, 1.0, 0.0])], "vec_id bigint, embedding array<float>"),
+    }
+    for name, (data, schema) in frames.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: rows(catalog.queries()[name](spark, str(tmp_path)))
+    assert run("edges_all") == [("semantic", 2), ("structural", 1)]
+    assert run("communities") == [("code:5", 1, 3), ("note:1", 2, 4), ("note:9", 1, 51)]
+    for name in ("components", "label_propagation"):
+        got = dict(run(name))
+        assert got["code:1"] == got["code:3"] == got["code:5"] and got["note:6"] == got["note:8"] and len({got[f"note:{i}"] for i in (2, 4, 6)}) == 3
