@@ -7,7 +7,8 @@ trees, level by level, as sums over children, and down again; a child is compati
 through it, with its siblings. The likeliest label of each file is its result.
 
 Near-copies are found by MinHash over five-word shingles: files of one bucket of a band are compared with the bucket's
-first file only, so a group of copies costs as many comparisons as it has members, in however many repositories.
+first file, and those that it leaves open with further ones, until none is open. A group of copies costs as many
+comparisons as it has members, in however many repositories.
 
 Results: every file gets one label; empty contents and null contents are handwritten, as are package files of one
 line. Repeated rows count once. A null path is a file in the root.
@@ -21,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnfield.functions.arrow import map_rows, spread
@@ -197,23 +199,42 @@ def _features(files: DataFrame) -> DataFrame:
 
 
 def near_copies(features: DataFrame) -> DataFrame:
-    """(file_id, copy_class, repositories): files of which at least two repositories hold near-copies, with their class."""
+    """(file_id, copy_class, repositories): files of which at least two repositories hold near-copies, with their class.
+
+    Rounds: in each bucket the smallest files that are still open are compared with all of its members. A class that
+    two repositories hold settles its members; its first file is done in the bucket either way. What stays open goes
+    on to a round of more representatives, until nothing is open, so a bucket of n files needs about log4(n) rounds.
+    """
     own = features.filter("bands is not null").select("file_id", "repository_id", "bands", "sig")
     rows = own.select("file_id", "repository_id", F.posexplode("bands").alias("band", "key"))
     # Partial aggregation keeps hot buckets small; only buckets of several repositories go on.
-    buckets = rows.groupBy("band", "key").agg(F.min("file_id").alias("copy_class"), F.min("repository_id").alias("a"), F.max("repository_id").alias("b")).filter("a <> b").select("band", "key", "copy_class")
-    pairs = rows.join(buckets, ["band", "key"]).select("file_id", "copy_class").distinct()
+    buckets = rows.groupBy("band", "key").agg(F.min("repository_id").alias("a"), F.max("repository_id").alias("b")).filter("a <> b").select("band", "key")
+    members = cut(rows.join(buckets, ["band", "key"]).select("band", "key", "file_id").distinct())
     sigs = own.select("file_id", "repository_id", "sig").dropDuplicates(["file_id"])
-    both = pairs.join(sigs, "file_id").join(sigs.select(F.col("file_id").alias("copy_class"), F.col("sig").alias("first_sig")), "copy_class")
 
     def kernel(columns: list[list]):
         for i, repository, first, a, b in zip(*columns):
             if (np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).mean() >= AGREE:
                 yield i, repository, first
 
-    alike = map_rows(both, ["file_id", "repository_id", "copy_class", "sig", "first_sig"], kernel, "file_id bigint, repository_id bigint, copy_class bigint")
-    held = alike.select("copy_class", "repository_id").distinct().groupBy("copy_class").agg(F.count("*").alias("repositories")).filter("repositories > 1")
-    return alike.join(held, "copy_class").groupBy("file_id").agg(F.max(F.struct("repositories", F.col("copy_class"))).alias("x")).select("file_id", F.col("x.copy_class").alias("copy_class"), F.col("x.repositories").alias("repositories"))
+    pending, width, found = members, 1, None
+    while found is None or not pending.isEmpty():
+        if width == 1:
+            first = pending.groupBy("band", "key").agg(F.min("file_id").alias("copy_class"))
+        else:
+            place = F.row_number().over(W.partitionBy("band", "key").orderBy("file_id"))
+            first = pending.withColumn("place", place).filter(F.col("place") <= width).select("band", "key", F.col("file_id").alias("copy_class"))
+        pairs = members.join(first, ["band", "key"]).select("file_id", "copy_class").distinct()
+        both = pairs.join(sigs, "file_id").join(sigs.select(F.col("file_id").alias("copy_class"), F.col("sig").alias("first_sig")), "copy_class")
+        alike = map_rows(both, ["file_id", "repository_id", "copy_class", "sig", "first_sig"], kernel, "file_id bigint, repository_id bigint, copy_class bigint")
+        alike = cut(alike)
+        held = alike.select("copy_class", "repository_id").distinct().groupBy("copy_class").agg(F.count("*").alias("repositories")).filter("repositories > 1")
+        settled = cut(alike.join(held, "copy_class").groupBy("file_id").agg(F.max(F.struct("repositories", F.col("copy_class"))).alias("x")))
+        found = settled if found is None else found.unionByName(settled)
+        left = pending.join(first.withColumnRenamed("copy_class", "file_id"), ["band", "key", "file_id"], "left_anti")
+        pending = cut(left.join(settled.select("file_id"), "file_id", "left_anti").select("band", "key", "file_id"))
+        width *= 4
+    return found.groupBy("file_id").agg(F.max("x").alias("x")).select("file_id", F.col("x.copy_class").alias("copy_class"), F.col("x.repositories").alias("repositories"))
 
 
 LOG_COMPATIBLE = np.log(COMPATIBLE)

@@ -190,6 +190,17 @@ def test_minhash_estimates_similarity():
     assert same(a, b) > provenance.AGREE > 0.3 > same(a, c) and provenance.signature("too short", {}) is None
 
 
+def test_near_copies_that_a_bucket_s_first_file_rejects(spark):
+    rng = np.random.default_rng(3)
+    sig = lambda family: np.random.default_rng(family).integers(0, 1 << 16, provenance.HASHES, dtype=np.uint16).astype("<u2").tobytes()
+    # One bucket for all: file 1 is like none, 7 families have copies in two repositories, one only in its own, 9 files are alone.
+    members = [(1, 1, 100)] + [(10 + 2 * n + k, k, n) for n in range(7) for k in range(2)] + [(40 + k, 5, 50) for k in range(3)] + [(60 + n, n, 60 + n) for n in range(9)]
+    rng.shuffle(members)
+    data = [(int(i), int(r), [7] * provenance.BANDS, sig(int(family))) for i, r, family in members]
+    got = rows(provenance.near_copies(spark.createDataFrame(data, "file_id bigint, repository_id bigint, bands array<bigint>, sig binary")).select("file_id", "repositories"))
+    assert got == [(10 + 2 * n + k, 2) for n in range(7) for k in range(2)]
+
+
 # 5
 
 
