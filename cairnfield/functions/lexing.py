@@ -3,10 +3,12 @@
 ``scan`` reads one chunk from a known lexer state and returns the state it ends in with a summary of its brackets:
 the closers that nothing in the chunk opened and the openers that nothing in it closed. Two summaries in a row combine
 associatively (``join``). A chunk whose start state isn't known is represented by ``state_map``: the summary for every
-state in which a line can begin.
+state in which a line can begin. A summary carries the chunk's mask for its start state, so that the masks of chunks in
+a row make up the mask of the text.
 
-States: C code, B block comment, T template text, R raw string, D and S triple-quoted strings, d and s strings carried
-over a line end by a backslash, H a documentation block. Chunks are cut after line ends.
+States: C code, B block comment, T template text, R raw string, D and S triple-quoted strings, m and q strings of many
+lines, H a documentation block. Chunks are cut after line ends, never after a backslash, so that no other string
+is carried from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ MARK = r"(?m:^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|$))"
 ALIEN = r"[\x00-\x08\x0e-\x1f\x7f‘-‟�]"
 DQ = r'"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*+"'
 SQ = r"'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*+'"
+# Python's formatted strings may hold their own quotes inside of braces.
+FSTRING = "|".join(rf"(?<![\w])(?i:fr?|rf){q}(?!{q}{q})(?:[^{q}\\\n{{]|\\[\s\S]|\{{\{{|\{{(?:[^{{}}\n{q}]|{q}[^{q}\n]*{q}|\{{[^{{}}\n{q}]*\}})*+\}})*+{q}" for q in "\"'")
 DQ_ML = r'"(?:[^"\\]|\\[\s\S])*+"'
 LINE, BLOCK = r"//[^\n]*", r"/\*[\s\S]*?\*/"
 # A word, a number's rest or a closer before a slash makes it a division.
@@ -34,8 +38,8 @@ _SCAN = {
     "java": rf"{LINE}|{BLOCK}|\"\"\"[\s\S]*?(?<!\\)\"\"\"|\"\"\"|{DQ}|{SQ}|[(){{}}\[\]]|/\*|[\"']|{MARK}|{ALIEN}",
     "c": rf"{LINE}|{BLOCK}|(?m:^[ \t]*#(?:[^\n\\]|\\\r?\n|\\.)*)|{DQ}|{SQ}|[(){{}}\[\]]|/\*|[\"']|{MARK}|{ALIEN}",
     "rust": rf"{LINE}|{BLOCK}|b?r(#*)\"[\s\S]*?\"\1|{DQ_ML}|b?'(?:\\(?:x\w\w|u\{{\w+\}}|.)|[^'\\\n])'|'(?=[A-Za-z_])|[(){{}}\[\]]|/\*|[\"']|{MARK}|{ALIEN}",
-    "ruby": rf"#[^\n]*|(?m:^=begin\b[\s\S]*?^=end\b)|{DQ_ML}|'(?:[^'\\]|\\[\s\S])*+'|(?<=\s)%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}})|[(){{}}\[\]]|[\"']|{MARK}|{ALIEN}",
-    "python": rf"#[^\n]*|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"\"\"|'''|{DQ}|{SQ}|[(){{}}\[\]]|[\"']|{MARK}|{ALIEN}",
+    "ruby": rf"#[^\n]*|(?m:^=begin\b[\s\S]*?^=end\b)|{DQ_ML}|'(?:[^'\\]|\\[\s\S])*+'|(?<!\S)%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}})|[(){{}}\[\]]|[\"']|{MARK}|{ALIEN}",
+    "python": rf"#[^\n]*|{FSTRING}|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"\"\"|'''|{DQ}|{SQ}|[(){{}}\[\]]|[\"']|{MARK}|{ALIEN}",
 }
 _SCAN["typescript"] = _SCAN["javascript"]
 _SCAN["cpp"] = _SCAN["c"]
@@ -48,13 +52,11 @@ RESUME = {
     "R": re.compile(r"`"),
     "D": re.compile(r'(?<!\\)"""'),
     "S": re.compile(r"(?<!\\)'''"),
-    "d": re.compile(r'(?:[^"\\\n]|\\[\s\S])*+"'),
-    "s": re.compile(r"(?:[^'\\\n]|\\[\s\S])*+'"),
     "m": re.compile(r'(?:[^"\\]|\\[\s\S])*+"'),
     "q": re.compile(r"(?:[^'\\]|\\[\s\S])*+'"),
     "H": re.compile(r"(?m)^=end\b"),
 }
-STATES = {"javascript": "CBTds", "typescript": "CBTds", "go": "CBR", "java": "CBDds", "c": "CBds", "cpp": "CBds", "rust": "CBm", "ruby": "CmqH", "python": "CDSds"}
+STATES = {"javascript": "CBT", "typescript": "CBT", "go": "CBR", "java": "CBD", "c": "CB", "cpp": "CB", "rust": "CBm", "ruby": "CmqH", "python": "CDS"}
 TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(`|\$\{)")
 
 
@@ -69,6 +71,7 @@ class Summary(NamedTuple):
     openers: str
     bad: bool
     clear: bool
+    mask: str = ""
 
 
 def _opens(language: str, text: str, at: int) -> str:
@@ -85,36 +88,48 @@ def _opens(language: str, text: str, at: int) -> str:
         return "m"
     if language == "ruby":
         return "q"
-    quote = text[at]
-    rest = re.compile(rf"(?:[^{quote}\\\n]|\\(?:\r\n|[\s\S]))*+\Z").match(text, at + 1)
-    if rest and text.rstrip("\r\n").endswith("\\"):
-        return "d" if quote == '"' else "s"
     return ""
 
 
-def scan(text: str, language: str, state: str = "C", mask: list[str] | None = None, even: bool = False) -> Summary:
-    """Lexer state and brackets of a chunk of text that is read from ``state``.
+def scan(text: str, language: str, state: str = "C", mask: list[str] | None = None, even: bool = False, within: str = "") -> Summary:
+    """Lexer state and brackets of a chunk of text that is read from ``state``, inside of the open brackets ``within``.
 
     ``mask`` receives the chunk in pieces without comments (a blank, or a line end if they have one) and with empty
     literals: `` for raw strings and templates, "" for other strings and regular expressions. With ``even`` the pieces
     keep their length and their line ends instead, so that places in the mask are places in the chunk.
     """
-    n, at, kept, inside = len(text), 0, 0, 0
-    stack: list[str] = []
+    at, kept = 0, 0
+    stack: list[str] = list(within)
     closers: list[str] = []
+    # Depth of the template whose text and inner code the mask leaves out; a template that an earlier chunk opened
+    # counts as one more level if the brackets around this chunk aren't known.
+    beyond = 1 if state == "T" and "`" not in within else 0
+    inside = within.index("`") + 1 if "`" in within else beyond
     find = SCAN[language]
     template = language in ("javascript", "typescript")
     hash_comment = language in ("python", "ruby")
+
+    def unfinished(start: int) -> Summary:
+        going = _opens(language, text, start)
+        if going and mask is not None and not inside:
+            mask.append(text[kept:start])
+            if even:
+                mask.append(BLANK.sub(" ", text[start:]))
+        return Summary(going or "C", "".join(closers), "".join(stack), not going, True)
+
     if state == "T":
         stack_mode = True
     else:
         stack_mode = False
         if state != "C":
-            m = RESUME[state].match(text) if state in "dsmq" else RESUME[state].search(text)
+            m = RESUME[state].match(text) if state in "mq" else RESUME[state].search(text)
             if not m:
-                going = state not in "ds" or text.rstrip("\r\n").endswith("\\")
-                return Summary(state, "", "", not going, True)
-            at = m.end()
+                if mask is not None and even:
+                    mask.append(BLANK.sub(" ", text))
+                return Summary(state, "", "".join(stack), False, True)
+            at = kept = m.end()
+            if mask is not None:
+                mask.append(BLANK.sub(" ", text[:at]) if even else "\n" if state in "BH" else "``" if state == "R" else '""')
     while True:
         if stack_mode:
             m = TEMPLATE.match(text, at)
@@ -122,13 +137,14 @@ def scan(text: str, language: str, state: str = "C", mask: list[str] | None = No
                 return Summary("T", "".join(closers), "".join(stack), False, True)
             at = m.end()
             if m[1] == "`":
-                if mask is not None and inside == len(stack):
+                if mask is not None and inside == len(stack) + beyond:
                     mask.append(BLANK.sub(" ", text[kept:at]) if even else "``")
                     kept, inside = at, 0
                 if stack:
                     stack.pop()
                 else:
                     closers.append("`")
+                    beyond = 0
             else:
                 stack.append("$")
             stack_mode = m[1] == "`" and bool(stack) and stack[-1] == "`"
@@ -138,7 +154,7 @@ def scan(text: str, language: str, state: str = "C", mask: list[str] | None = No
         for m in find.finditer(text, at):
             tok = m[0]
             c = tok[0]
-            if len(tok) == 1:
+            if len(tok) == 1 and c != "#":
                 if c in "([{":
                     stack.append(c)
                     continue
@@ -152,12 +168,12 @@ def scan(text: str, language: str, state: str = "C", mask: list[str] | None = No
                     if top == "$" and c == "}":
                         at, stack_mode, jumped = m.end(), True, True
                         break
-                    return Summary("C", "", "", True, True)
+                    return Summary("C", "".join(closers), "", True, True)
                 if c == "`" and template:
                     stack.append("`")
                     if mask is not None and not inside:
                         mask.append(text[kept : m.start()])
-                        kept, inside = m.start(), len(stack)
+                        kept, inside = m.start(), len(stack) + beyond
                     at, stack_mode, jumped = m.end(), True, True
                     break
                 if c == "/":
@@ -174,14 +190,12 @@ def scan(text: str, language: str, state: str = "C", mask: list[str] | None = No
                 if c in "\"'`":
                     if c == "'" and language == "rust":
                         continue
-                    going = _opens(language, text, m.start())
-                    return Summary(going or "C", "".join(closers), "".join(stack), not going, True)
-                return Summary("C", "", "", True, True)
+                    return unfinished(m.start())
+                return Summary("C", "".join(closers), "", True, True)
             if tok in ("/*", '"""', "'''"):
-                going = _opens(language, text, m.start())
-                return Summary(going or "C", "".join(closers), "".join(stack), not going, True)
+                return unfinished(m.start())
             if c in "<=>|" and not (c == "=" and language == "ruby" and tok.startswith("=begin")):
-                return Summary("C", "", "", True, True)
+                return Summary("C", "".join(closers), "", True, True)
             if mask is not None and not inside:
                 if c == "#" and not hash_comment or c == "'" and tok[-1] != "'":
                     continue
@@ -199,31 +213,39 @@ def scan(text: str, language: str, state: str = "C", mask: list[str] | None = No
             return Summary("C", "".join(closers), "".join(stack), False, True)
 
 
+def summary(text: str, language: str, state: str = "C", within: str = "") -> Summary:
+    """Summary of a chunk read from ``state``, with its mask; Python's keeps all places, as its statements are cut out."""
+    mask: list[str] = []
+    return scan(text, language, state, mask, even=language == "python", within=within)._replace(mask="".join(mask))
+
+
+UNCLEAR = Summary("C", "", "", False, False)
+
+
 def state_map(text: str, language: str, first: bool = False) -> dict[str, Summary]:
     """Summaries of a chunk for each state it can begin in; a text's first chunk begins in code."""
-    return {s: scan(text, language, s) for s in ("C" if first else STATES[language])}
+    out = {s: summary(text, language, s) for s in ("C" if first else STATES[language])}
+    if not first and language in ("javascript", "typescript"):
+        # A brace that closes more than the chunk opened may end a template's code: what follows is text, not wrong code.
+        out = {s: UNCLEAR if x.bad and "}" in x.closers else x for s, x in out.items()}
+    return out
 
 
 def join(a: Summary, b: dict[str, Summary]) -> Summary:
     """Summary of a chunk followed by another, of which all states are known."""
-    if a.bad:
+    if a.bad or not a.clear:
         return a
-    nxt = b.get(a.end)
-    if nxt is None or not a.clear:
-        return Summary("C", "", "", False, False)
-    if nxt.bad:
+    # Code inside of a template's braces: where it ends, and that it isn't part of the mask, only the template's chunk knows.
+    nxt = UNCLEAR if "$" in a.openers else b.get(a.end, UNCLEAR)
+    if nxt.bad or not nxt.clear:
         return nxt
     openers, closers = list(a.openers), list(a.closers)
     for c in nxt.closers:
         if not openers:
             closers.append(c)
-            continue
-        top = openers.pop()
-        if top == "$" and c == "}":
-            return Summary("C", "", "", False, False)  # the rest was template text, but was read as code
-        if top != OPEN[c]:
+        elif openers.pop() != OPEN[c]:
             return Summary("C", "", "", True, True)
-    return Summary(nxt.end, "".join(closers), "".join(openers) + nxt.openers, False, nxt.clear)
+    return Summary(nxt.end, "".join(closers), "".join(openers) + nxt.openers, False, True, a.mask + nxt.mask)
 
 
 def join_maps(a: dict[str, Summary], b: dict[str, Summary]) -> dict[str, Summary]:
@@ -231,16 +253,32 @@ def join_maps(a: dict[str, Summary], b: dict[str, Summary]) -> dict[str, Summary
     return {s: join(x, b) for s, x in a.items()}
 
 
+def follow(a: Summary, b: dict[str, Summary], text: str, language: str) -> Summary:
+    """``join``, with the text of the second chunk at hand: what its map can't tell is read from the known state."""
+    both = join(a, b)
+    if both.clear or not a.clear:
+        return both
+    nxt = summary(text, language, a.end, within=a.openers)
+    return nxt if nxt.bad else Summary(nxt.end, a.closers + nxt.closers, nxt.openers, False, True, a.mask + nxt.mask)
+
+
 def chunks(text: str, size: int) -> list[str]:
-    """A text cut after line ends into chunks of about ``size`` characters (a longer line stays whole)."""
+    """A text cut after line ends, none after a backslash, into chunks of about ``size`` characters (a longer line stays whole)."""
     out, at = [], 0
-    while at < len(text):
-        if len(text) - at <= size:
-            out.append(text[at:])
-            break
-        end = text.rfind("\n", at, at + size) + 1 or (text.find("\n", at + size) + 1 or len(text))
-        out.append(text[at:end])
-        at = end
+    while len(text) - at > size:
+        end = at + size
+        while (end := text.rfind("\n", at, end)) > at and text.endswith(("\\", "\\\r"), at, end):
+            pass
+        if end <= at:
+            end = at + size - 1
+            while (end := text.find("\n", end + 1)) >= 0 and text.endswith(("\\", "\\\r"), at, end):
+                pass
+            if end < 0:
+                break
+        out.append(text[at : end + 1])
+        at = end + 1
+    if at < len(text):
+        out.append(text[at:])
     return out or [""]
 
 
