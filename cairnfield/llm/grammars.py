@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 NAME = r"[A-Za-z_$\u00a1-\uffff][\w$]*+"
 #: No binary operator or keyword that expects more may end a text.
@@ -251,15 +251,37 @@ def _ruby(masked: str) -> bool:
     return depth == 0
 
 
-def valid_python(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except (SyntaxError, ValueError):
-        return False
-    except (RecursionError, MemoryError):
-        return True
+# Clauses that go on with the statement before them.
+CLAUSE = re.compile(r"(?:elif|else|except|finally)\b")
+
+
+def python_statements(text: str, mask: str) -> Iterator[str]:
+    """The balanced top-level statements of a text; the mask keeps its places and blanks its literals and comments."""
+    begin = at = depth = 0
+    decorated = False
+    while at < len(text):
+        # A line of the first column begins a statement unless a bracket or a backslash holds the one before open.
+        if at and mask[at] not in " \t\r\n\f" and not depth and not CLAUSE.match(mask, at) and not decorated and not mask.endswith(("\\\n", "\\\r\n"), begin, at):
+            yield text[begin:at]
+            begin = at
+        end = mask.find("\n", at) + 1 or len(text)
+        decorated = not depth and mask[at] == "@" or decorated and (depth > 0 or not mask[at:end].strip() or mask[at] in " \t")
+        depth += sum(mask.count(c, at, end) for c in "([{") - sum(mask.count(c, at, end) for c in ")]}")
+        at = end
+    yield text[begin:]
+
+
+def valid_python(text: str, mask: str) -> bool:
+    """Whether each statement parses; one nested too deeply for the parser counts as what its brackets say, valid."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for statement in python_statements(text, mask):
+            try:
+                ast.parse(statement)
+            except (SyntaxError, ValueError):
+                return False
+            except (RecursionError, MemoryError):
+                continue
     return True
 
 

@@ -233,7 +233,8 @@ def test_near_copies_that_a_bucket_s_first_file_rejects(spark):
 )
 def test_validity(lang, text, problem):
     assert syntax.judge(text, lang) == problem
-    assert (syntax.judge(text, lang, size=16) is None) == (problem is None)
+    for chunk, segment in ((16, 10**9), (16, 40), (1, 1)):
+        assert (syntax.judge(text, lang, chunk, segment) is None) == (problem is None)
 
 
 def test_maps_reduce_associatively():
@@ -249,6 +250,37 @@ def test_maps_reduce_associatively():
     assert left["C"] == right["C"] and (not left["C"].clear or left["C"][:4] == whole[:4]) and not whole.bad and not whole.openers
 
 
+SOUND = {
+    "javascript": "/* a\n ' */\nexport function f(a) {\n  const t = `x\n${ a.map((b) => `\n'${b}'\n`) }\n' y`\n  return [1, (2)] // }\n}\n",
+    "python": 'def f(a):\n    """Don\'t\n\n    (\n    """\n    return [\n        a,\n\n    f"{a["b"]}"]\n\n\n@g\n# c\nclass A:\n    pass\n\n\nif f(1):\n    x = 1\nelse:\n    x = 2 + \\\n3\n#\n',
+    "go": "package p\n\n/* '\n*/\nvar s = `\n{ '\n`\n\nfunc F() {\n}\n",
+    "ruby": "=begin\n'\n=end\n#\ndef f(a)\n  x = \"a\n(\"\n  a.each do |y|\n    y\n  end\nend\n",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SOUND))
+def test_verdicts_come_from_the_maps(lang, monkeypatch):
+    text = SOUND[lang] * 3 if lang != "go" else SOUND[lang]
+    whole = lexing.summary(text, lang)
+    for size in (1, 7, 20, 45, 10**9):
+        assert syntax.segment_map(text, lang, True, size)["C"] == whole and whole.clear
+        assert syntax.judge(text, lang, size) is None and syntax.judge(text, lang, size, 3 * size) is None
+        assert syntax.judge(text + "]\n", lang, size) == "bracket"
+    constant = lambda part, *a: dict.fromkeys("CBTRDSmqH", lexing.Summary("C", "", "", False, True, lexing.BLANK.sub(" ", part)))
+    monkeypatch.setattr(lexing, "state_map", constant)
+    assert syntax.judge(text + "]\n", lang) is None or lang == "python"
+    assert syntax.judge(text + "]\n", lang) != "bracket" != syntax.judge("(" + text, lang, 20)
+
+
+def test_long_files_are_reduced_across_partitions(spark):
+    data = [(n, n % 2, "a", lang, text * (3 if lang != "go" else 1) + tail) for n, (lang, text, tail) in enumerate((lang, text, tail) for lang, text in sorted(SOUND.items()) for tail in ("", "]\n", "\n"))]
+    df = files(spark, [*data, data[1], (99, None, None, "go", None)])
+    for chunk, segment in ((4096, 262144), (20, 60), (7, 7)):
+        got = {r["file_id"]: r["problem"] for r in syntax.judged_files(df, chunk, segment).collect()}
+        assert got == {i: "bracket" if text.endswith("]\n") else None for i, _, _, _, text in data} | {99: None}
+    assert rows(syntax.judged_files(df.limit(0), 20, 60)) == []
+
+
 def test_rates(spark):
     df = files(spark, [(1, 1, "a.py", "python", "x = 1"), (2, 1, "b.py", "python", "x ="), (2, 1, "b.py", "python", "x ="), (3, 1, "c", None, "x ="), (4, 2, "d.py", "Python", None), (5, 2, "e.pl", "perl", "{")])
     assert rows(syntax.invalid_files(df)) == [(2,)]
