@@ -38,7 +38,7 @@ _SCAN = {
     "java": rf"{LINE}|{BLOCK}|\"\"\"[\s\S]*?(?<!\\)\"\"\"|\"\"\"|{DQ}|{SQ}|[(){{}}\[\]]|/\*|[\"']|{MARK}|{ALIEN}",
     "c": rf"{LINE}|{BLOCK}|(?m:^[ \t]*#(?:[^\n\\]|\\\r?\n|\\.)*)|{DQ}|{SQ}|[(){{}}\[\]]|/\*|[\"']|{MARK}|{ALIEN}",
     "rust": rf"{LINE}|{BLOCK}|b?r(#*)\"[\s\S]*?\"\1|{DQ_ML}|b?'(?:\\(?:x\w\w|u\{{\w+\}}|.)|[^'\\\n])'|'(?=[A-Za-z_])|[(){{}}\[\]]|/\*|[\"']|{MARK}|{ALIEN}",
-    "ruby": rf"#[^\n]*|(?m:^=begin\b[\s\S]*?^=end\b)|{DQ_ML}|'(?:[^'\\]|\\[\s\S])*+'|(?<!\S)%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}})|[(){{}}\[\]]|[\"']|{MARK}|{ALIEN}",
+    "ruby": rf"#[^\n]*|(?m:^=begin\b(?:[\s\S]*?^=end\b)?)|{DQ_ML}|'(?:[^'\\]|\\[\s\S])*+'|(?<!\S)%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}})|[(){{}}\[\]]|[\"']|{MARK}|{ALIEN}",
     "python": rf"#[^\n]*|{FSTRING}|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"\"\"|'''|{DQ}|{SQ}|[(){{}}\[\]]|[\"']|{MARK}|{ALIEN}",
 }
 _SCAN["typescript"] = _SCAN["javascript"]
@@ -78,6 +78,8 @@ def _opens(language: str, text: str, at: int) -> str:
     """State in which text[at:], an unfinished literal or comment, leaves the chunk; '' if it can't go on."""
     if text.startswith("/*", at):
         return "B"
+    if language == "ruby" and text[at] == "=":
+        return "H"
     if text.startswith('"""', at):
         return "D" if language in ("python", "java") else ""
     if text.startswith("'''", at):
@@ -192,7 +194,7 @@ def scan(text: str, language: str, state: str = "C", mask: list[str] | None = No
                         continue
                     return unfinished(m.start())
                 return Summary("C", "".join(closers), "", True, True)
-            if tok in ("/*", '"""', "'''"):
+            if tok in ("/*", '"""', "'''", "=begin"):
                 return unfinished(m.start())
             if c in "<=>|" and not (c == "=" and language == "ruby" and tok.startswith("=begin")):
                 return Summary("C", "".join(closers), "", True, True)
