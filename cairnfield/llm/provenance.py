@@ -6,9 +6,10 @@ handwritten, generated, minified, vendored, blob. A directory's name gives evide
 trees, level by level, as sums over children, and down again; a child is compatible with its parent's label and,
 through it, with its siblings. The likeliest label of each file is its result.
 
-Near-copies are found by MinHash over five-word shingles: files of one bucket of a band are compared with the bucket's
-first file, and those that it leaves open with further ones, until none is open. A group of copies costs as many
-comparisons as it has members, in however many repositories.
+Near-copies are found by MinHash over five-word shingles and decided by the exact Jaccard similarity of these: files
+of one bucket of a band are compared with the bucket's first file, and those that it leaves open with further ones,
+until none is open. A group of copies costs as many comparisons as it has members, in however many repositories.
+Texts of fewer than five words have no shingle and are no copies.
 
 Results: every file gets one label; empty contents and null contents are handwritten, as are package files of one
 line. Repeated rows count once. A null path is a file in the root.
@@ -29,10 +30,14 @@ from cairnfield.functions.arrow import map_rows, spread
 from cairnfield.functions.lineage import cut
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-SHINGLE, LEAST_SHINGLES = 5, 30
-BANDS, ROWS, HASHES = 12, 5, 128
-#: Share of equal hashes from which two files count as near-copies; set for similarities of 0.8 and more.
-AGREE = 0.75
+#: Words of a shingle, and the exact Jaccard similarity of two files' shingles from which they are near-copies.
+SHINGLE, ALIKE = 5, 0.8
+#: A copy of so many shingles or more is full evidence of copying; shorter texts coincide more easily and say less.
+FULL_COPY = 40
+#: Two files at the threshold share a band with probability 0.998.
+BANDS, ROWS = 16, 5
+#: Parts that the files of one folder are dealt out to when they meet their folder's belief.
+SALTS = 16
 
 BASE = -2.0
 # Log-odds that a piece of evidence adds to its label.
@@ -63,6 +68,7 @@ MADE = re.compile(
 )
 BY_HAND = re.compile(r"(?i)\bwritten by hand\b|\bhand-?written\b|\bgenerated (?:part|code|files?|pages?) (?:lives?|is|are) (?:kept )?elsewhere\b|\bgenerates\b")
 COMMENT = re.compile(r"\s*(?://|#|/?\*|--|;|<!--|\"\"\"|''')")
+HEAD = re.compile(r"\s*(?:/\*(?s:.*?)\*/|<!--(?s:.*?)-->|\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''|(?://|#|--|;|\*)[^\n]*)\s*")
 LICENCE = re.compile(r"(?i)\bv?\d+\.\d+(?:\.\d+)?\b.{0,80}\b(?:MIT|BSD|Apache|ISC|MPL|GPL|LGPL|Unlicense|zlib|License[ds]?)\b|\b(?:MIT|BSD-?\d?(?:-clause)?|Apache-2\.0|ISC|MPL-2\.0)\b.{0,60}\bv?\d+\.\d+\.\d+\b|\b(?:vendored|copied|forked|taken) (?:verbatim )?from (?:https?:|github|upstream)")
 LOCK_NAME = re.compile(r"(?i)(?:^|[/.-])(?:package-lock|npm-shrinkwrap|pnpm-lock|yarn|composer|poetry|pipfile|cargo|gemfile|mix|podfile|flake|module|deps|go|bun|uv|pdm)?[.-]?lock(?:\.(?:json|ya?ml|toml|lockb?))?$|(?:^|/)go\.sum$|\.lock$|[.-]lock\.(?:json|ya?ml)$")
 MADE_NAME = re.compile(r"(?i)(?:[._-](?:pb|pb2|pb2_grpc|pb\.gw|g|gen|generated|designer|freezed|grpc)\.[a-z]+|_pb2(?:_grpc)?\.py|\.g\.[a-z]+|zz_generated\.[\w.]+)$")
@@ -76,6 +82,14 @@ IMPORTS = re.compile(r"\s*(?:import|from|export \*|require|use|using|#\s*include
 LITERAL_LINE = re.compile(r"\s*[\[({]*\s*(?:(?:\"[^\"\n]*\"|'[^'\n]*'|-?(?:0x[0-9a-fA-F]+|\d[\d.eE+_-]*)|true|false|null|None|True|False|[A-Za-z_]\w*(?=\s*:))\s*[,:;{}\[\])(]*\s*)+\r?")
 
 
+def leading_comment(body: str) -> str:
+    """All comments before a text's first line of code, block comments up to their end; blank lines count as part of it."""
+    at = 0
+    while m := HEAD.match(body, at):
+        at = m.end()
+    return body[:at]
+
+
 def evidence(path: str | None, text: str | None) -> list[float]:
     """Log-likelihoods of the labels from a file alone; the handwritten one is the zero line."""
     path, text = path or "", text or ""
@@ -89,16 +103,10 @@ def evidence(path: str | None, text: str | None) -> list[float]:
         return phi
     plain = bool(PLAIN_NAME.search(path))
     lines = body.split("\n")
-    # The leading comment: comment and blank lines only.
-    head = []
-    for line in lines[:12]:
-        if line.strip() and not COMMENT.match(line):
-            break
-        head.append(line)
-    head_text = "\n".join(head)
-    if head and MADE.search(head_text) and not BY_HAND.search(head_text) and not plain:
+    head = leading_comment(body)
+    if head and MADE.search(head) and not BY_HAND.search(head) and not plain:
         phi[1] += HEADER
-    if head and LICENCE.search(head_text) and not plain:
+    if head and LICENCE.search(head) and not plain:
         phi[3] += BANNER
     if plain:
         phi[0] += 6.0
@@ -149,41 +157,60 @@ def evidence(path: str | None, text: str | None) -> list[float]:
     return phi
 
 
-_A = np.random.default_rng(11).integers(1, 1 << 62, HASHES, dtype=np.uint64) | np.uint64(1)
-_B = np.random.default_rng(12).integers(0, 1 << 62, HASHES, dtype=np.uint64)
+_A = np.random.default_rng(11).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_B = np.random.default_rng(12).integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 
 
-def signature(text: str, known: dict[str, int]) -> tuple[list[int], bytes] | None:
-    """(a hash for each band, 16 bits of each MinHash); None for texts of too few shingles."""
+def shingles(text: str, known: dict[str, int]) -> np.ndarray:
+    """Hashes of the distinct runs of five words of a text, sorted."""
     words = WORDS.findall(text)
-    if len(words) < LEAST_SHINGLES + SHINGLE - 1:
-        return None
+    if len(words) < SHINGLE:
+        return np.zeros(0, np.uint64)
     if len(known) > 500_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = zlib.crc32(w.encode("utf-8", "replace")) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-    codes = list(map(known.__getitem__, words))
-    seq = np.array(codes, np.uint64)
+    seq = np.array(list(map(known.__getitem__, words)), np.uint64)
     n = len(seq) - SHINGLE + 1
     with np.errstate(over="ignore"):
         grams = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
             grams = grams * np.uint64(0x100000001B3) + seq[k : k + n]
         grams ^= grams >> np.uint64(29)
-        grams = np.unique(grams * np.uint64(0xBF58476D1CE4E5B9))
-        if len(grams) < LEAST_SHINGLES:
-            return None
-        least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+        return np.unique(grams * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def bands(grams: np.ndarray) -> list[int]:
+    """A hash of each band of the MinHashes of a text's shingles."""
+    with np.errstate(over="ignore"):
+        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(grams), 4096):
             values = grams[at : at + 4096, None] * _A + _B
             values ^= values >> np.uint64(31)
             least = np.minimum(least, values.min(0))
-        bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+        rows = least.reshape(BANDS, ROWS)
         keys = np.zeros(BANDS, np.uint64)
         for r in range(ROWS):
-            keys = (keys ^ bands[:, r]) * np.uint64(0x94D049BB133111EB)
+            keys = (keys ^ rows[:, r]) * np.uint64(0x94D049BB133111EB)
             keys ^= keys >> np.uint64(28)
-    return keys.view(np.int64).tolist(), (least & np.uint64(0xFFFF)).astype("<u2").tobytes()
+    return keys.view(np.int64).tolist()
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """The shingles as 32-bit hashes, sorted: a chance of about one in four thousand million that two differ and look alike."""
+    return np.unique((grams >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Similarity of two packed sets of shingles."""
+    if a == b:
+        return 1.0
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if min(len(x), len(y)) < ALIKE * max(len(x), len(y)):
+        return 0.0  # below the threshold whatever they share
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
 
 
 def _features(files: DataFrame) -> DataFrame:
@@ -191,11 +218,11 @@ def _features(files: DataFrame) -> DataFrame:
         known: dict[str, int] = {}
         for i, repository, path, text in zip(*columns):
             phi = evidence(path, text)
-            sig = signature(text, known) if text and not PLAIN_NAME.search(path or "") and not LOCK_NAME.search(path or "") else None
-            yield i, repository, (path or "").rpartition("/")[0], phi, sig[0] if sig else None, sig[1] if sig else None
+            grams = shingles(text, known) if text and not PLAIN_NAME.search(path or "") and not LOCK_NAME.search(path or "") else ()
+            yield i, repository, (path or "").rpartition("/")[0], phi, bands(grams) if len(grams) else None, packed(grams) if len(grams) else None
 
     source = files.select(F.col("id").cast("bigint").alias("file_id"), F.col("repository_id").cast("bigint").alias("repository_id"), "path", "content")
-    return map_rows(spread(source), ["file_id", "repository_id", "path", "content"], kernel, "file_id bigint, repository_id bigint, dir string, phi array<double>, bands array<bigint>, sig binary")
+    return map_rows(spread(source), ["file_id", "repository_id", "path", "content"], kernel, "file_id bigint, repository_id bigint, dir string, phi array<double>, bands array<bigint>, grams binary", out_rows=1024)
 
 
 def near_copies(features: DataFrame) -> DataFrame:
@@ -205,16 +232,16 @@ def near_copies(features: DataFrame) -> DataFrame:
     two repositories hold settles its members; its first file is done in the bucket either way. What stays open goes
     on to a round of more representatives, until nothing is open, so a bucket of n files needs about log4(n) rounds.
     """
-    own = features.filter("bands is not null").select("file_id", "repository_id", "bands", "sig")
+    own = features.filter("bands is not null").select("file_id", "repository_id", "bands", "grams")
     rows = own.select("file_id", "repository_id", F.posexplode("bands").alias("band", "key"))
     # Partial aggregation keeps hot buckets small; only buckets of several repositories go on.
     buckets = rows.groupBy("band", "key").agg(F.min("repository_id").alias("a"), F.max("repository_id").alias("b")).filter("a <> b").select("band", "key")
     members = cut(rows.join(buckets, ["band", "key"]).select("band", "key", "file_id").distinct())
-    sigs = own.select("file_id", "repository_id", "sig").dropDuplicates(["file_id"])
+    sigs = own.select("file_id", "repository_id", "grams").dropDuplicates(["file_id"])
 
     def kernel(columns: list[list]):
         for i, repository, first, a, b in zip(*columns):
-            if (np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).mean() >= AGREE:
+            if i == first or jaccard(a, b) >= ALIKE:
                 yield i, repository, first
 
     pending, width, found = members, 1, None
@@ -225,8 +252,8 @@ def near_copies(features: DataFrame) -> DataFrame:
             place = F.row_number().over(W.partitionBy("band", "key").orderBy("file_id"))
             first = pending.withColumn("place", place).filter(F.col("place") <= width).select("band", "key", F.col("file_id").alias("copy_class"))
         pairs = members.join(first, ["band", "key"]).select("file_id", "copy_class").distinct()
-        both = pairs.join(sigs, "file_id").join(sigs.select(F.col("file_id").alias("copy_class"), F.col("sig").alias("first_sig")), "copy_class")
-        alike = map_rows(both, ["file_id", "repository_id", "copy_class", "sig", "first_sig"], kernel, "file_id bigint, repository_id bigint, copy_class bigint")
+        both = pairs.join(sigs, "file_id").join(sigs.select(F.col("file_id").alias("copy_class"), F.col("grams").alias("first_grams")), "copy_class")
+        alike = map_rows(both, ["file_id", "repository_id", "copy_class", "grams", "first_grams"], kernel, "file_id bigint, repository_id bigint, copy_class bigint")
         alike = cut(alike)
         held = alike.select("copy_class", "repository_id").distinct().groupBy("copy_class").agg(F.count("*").alias("repositories")).filter("repositories > 1")
         settled = cut(alike.join(held, "copy_class").groupBy("file_id").agg(F.max(F.struct("repositories", F.col("copy_class"))).alias("x")))
@@ -293,8 +320,8 @@ def labelled_files(files: DataFrame) -> DataFrame:
     """(file_id, repository_id, label, confidence) of each file."""
     features = cut(_features(files).dropDuplicates(["file_id"]))
     copies = near_copies(features).select("file_id", "repositories")
-    leaf = features.drop("bands", "sig").join(copies, "file_id", "left")
-    added = F.when((F.col("repositories") > 1) & (F.col("phi")[0] < 20), COPIED).otherwise(0.0)
+    leaf = features.withColumn("size", F.octet_length("grams") / 4).drop("bands", "grams").join(copies, "file_id", "left")
+    added = F.when((F.col("repositories") > 1) & (F.col("phi")[0] < 20), COPIED * F.least(F.lit(1.0), F.col("size") / FULL_COPY)).otherwise(0.0)
     leaf = leaf.withColumn("phi", F.array(*(F.col("phi")[k] + (added if k == 3 else F.lit(0.0)) for k in range(5))))
     leaf = cut(_with_up(leaf.withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))), ["file_id", "repository_id", "dir", "depth"], leaves=True))
 
@@ -344,7 +371,10 @@ def labelled_files(files: DataFrame) -> DataFrame:
         yield from zip(*keys, (LABELS[k] for k in best.tolist()), sure.round(6).tolist())
 
     # Every file's folder is in the tree, but keys that are null join nothing: they keep what the file says.
-    final = leaf.join(beliefs, (leaf.repository_id.eqNullSafe(beliefs.repository_id)) & (leaf.dir == beliefs.dir), "left").select(leaf.file_id, leaf.repository_id, leaf.phi, leaf.up, F.coalesce("belief", "up").alias("over"))
+    # The files of a folder are dealt out: one folder may hold a third of all.
+    beliefs = beliefs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    leaf = leaf.withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int"))
+    final = leaf.join(beliefs, (leaf.repository_id.eqNullSafe(beliefs.repository_id)) & (leaf.dir == beliefs.dir) & (leaf.salt == beliefs.salt), "left").select(leaf.file_id, leaf.repository_id, leaf.phi, leaf.up, F.coalesce("belief", "up").alias("over"))
     return map_rows(final, ["file_id", "repository_id", "phi", "up", "over"], label, "file_id bigint, repository_id bigint, label string, confidence double")
 
 

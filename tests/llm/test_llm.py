@@ -180,24 +180,60 @@ def test_messages_equal_enumeration():
     assert total.shape == (5, 3, 5)
 
 
-def test_minhash_estimates_similarity():
+def test_evidence_reads_the_whole_leading_comment():
+    code = "\nexport const a = 1\nexport const b = 2\n"
+    licence = "".join(f"// licence line {n}\n" for n in range(40))
+    block = "/*\n" + "".join(f"licence line {n}\n\n" for n in range(40)) + "*/\n"
+    for head in ("", licence, block, licence + "\n" + block):
+        assert np.argmax(provenance.evidence("a.js", head + "// Code generated by x. DO NOT EDIT." + code)) == 1
+        assert np.argmax(provenance.evidence("a.js", head + "/* big.js v1.2.3 | MIT */" + code)) == 3
+        assert np.argmax(provenance.evidence("a.js", head + code + "// Code generated by x. DO NOT EDIT.")) == 0
+
+
+def family(n, words=120):
+    return " ".join(f"f{n}x{k}" for k in range(words))
+
+
+def test_similarity_is_exact():
     rng = random.Random(2)
-    base = [f"w{rng.randrange(500)}" for _ in range(400)]
-    changed = base[:]
-    changed[200] = "other"
-    a, b, c = (provenance.signature(" ".join(x), {}) for x in (base, changed, [f"v{rng.randrange(500)}" for _ in range(400)]))
-    same = lambda x, y: (np.frombuffer(x[1], "<u2") == np.frombuffer(y[1], "<u2")).mean()
-    assert same(a, b) > provenance.AGREE > 0.3 > same(a, c) and provenance.signature("too short", {}) is None
+    for n in (5, 9, 20, 400):
+        base = [f"w{rng.randrange(500)}" for _ in range(n)]
+        changed = base[:]
+        changed[n // 2] = "other"
+        sets = [{tuple(x[k : k + 5]) for k in range(n - 4)} for x in (base, changed)]
+        a, b = (provenance.packed(provenance.shingles(" ".join(x), {})) for x in (base, changed))
+        want = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        assert provenance.jaccard(a, a) == 1.0 and (provenance.jaccard(a, b) == want or want < provenance.ALIKE > provenance.jaccard(a, b))
+    assert len(provenance.shingles("too short a text", {})) == 0
+
+
+def copies(spark, data):
+    df = spark.createDataFrame([(i, r, f"src/{i}.py", text) for i, r, text in data], "id bigint, repository_id bigint, path string, content string")
+    return rows(provenance.near_copies(provenance._features(df).dropDuplicates(["file_id"])).select("file_id", "repositories"))
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(4)
+    data = []
+    for n in range(60):
+        base = family(n, rng.choice([6, 8, 15, 30, 60, 200])).split()
+        for k in range(rng.randrange(1, 4)):
+            text = base[:]
+            for _ in range(rng.randrange(0, 3)):
+                text[rng.randrange(len(text))] = f"c{rng.random()}"
+            data.append((10 * n + k, rng.randrange(4), " ".join(text)))
+    grams = {i: provenance.packed(provenance.shingles(text, {})) for i, _, text in data}
+    want = {i for i, r, _ in data for j, q, _ in data if r != q and provenance.jaccard(grams[i], grams[j]) >= provenance.ALIKE}
+    got = {i for i, _ in copies(spark, data)}
+    assert len(want) > 30 and got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_near_copies_that_a_bucket_s_first_file_rejects(spark):
-    rng = np.random.default_rng(3)
-    sig = lambda family: np.random.default_rng(family).integers(0, 1 << 16, provenance.HASHES, dtype=np.uint16).astype("<u2").tobytes()
     # One bucket for all: file 1 is like none, 7 families have copies in two repositories, one only in its own, 9 files are alone.
     members = [(1, 1, 100)] + [(10 + 2 * n + k, k, n) for n in range(7) for k in range(2)] + [(40 + k, 5, 50) for k in range(3)] + [(60 + n, n, 60 + n) for n in range(9)]
-    rng.shuffle(members)
-    data = [(int(i), int(r), [7] * provenance.BANDS, sig(int(family))) for i, r, family in members]
-    got = rows(provenance.near_copies(spark.createDataFrame(data, "file_id bigint, repository_id bigint, bands array<bigint>, sig binary")).select("file_id", "repositories"))
+    random.Random(3).shuffle(members)
+    data = [(i, r, [7] * provenance.BANDS, provenance.packed(provenance.shingles(family(f), {}))) for i, r, f in members]
+    got = rows(provenance.near_copies(spark.createDataFrame(data, "file_id bigint, repository_id bigint, bands array<bigint>, grams binary")).select("file_id", "repositories"))
     assert got == [(10 + 2 * n + k, 2) for n in range(7) for k in range(2)]
 
 
