@@ -237,7 +237,8 @@ def near_copies(features: DataFrame) -> DataFrame:
     # Partial aggregation keeps hot buckets small; only buckets of several repositories go on.
     buckets = rows.groupBy("band", "key").agg(F.min("repository_id").alias("a"), F.max("repository_id").alias("b")).filter("a <> b").select("band", "key")
     members = cut(rows.join(buckets, ["band", "key"]).select("band", "key", "file_id").distinct())
-    sigs = own.select("file_id", "repository_id", "grams").dropDuplicates(["file_id"])
+    # Shingles travel only for files that share a bucket with another repository's, and once.
+    sigs = cut(own.select("file_id", "repository_id", "grams").join(members.select("file_id").distinct(), "file_id").dropDuplicates(["file_id"]))
 
     def kernel(columns: list[list]):
         for i, repository, first, a, b in zip(*columns):
@@ -318,9 +319,9 @@ def _folder_evidence() -> Column:
 
 def labelled_files(files: DataFrame) -> DataFrame:
     """(file_id, repository_id, label, confidence) of each file."""
-    features = cut(_features(files).dropDuplicates(["file_id"]))
+    features = cut(_features(files))
     copies = near_copies(features).select("file_id", "repositories")
-    leaf = features.withColumn("size", F.octet_length("grams") / 4).drop("bands", "grams").join(copies, "file_id", "left")
+    leaf = features.withColumn("size", F.octet_length("grams") / 4).drop("bands", "grams").dropDuplicates(["file_id"]).join(copies, "file_id", "left")
     added = F.when((F.col("repositories") > 1) & (F.col("phi")[0] < 20), COPIED * F.least(F.lit(1.0), F.col("size") / FULL_COPY)).otherwise(0.0)
     leaf = leaf.withColumn("phi", F.array(*(F.col("phi")[k] + (added if k == 3 else F.lit(0.0)) for k in range(5))))
     leaf = cut(_with_up(leaf.withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))), ["file_id", "repository_id", "dir", "depth"], leaves=True))
