@@ -2,9 +2,10 @@
 
 A text is searched for key blocks, tokens of known form, connection URLs with a password, authorization headers, login
 remarks, and values given to names that mean a credential. Literals that are put together are joined first, so a value
-in several pieces is one. Runs of base64, hex, percent or backslash escapes are decoded and searched again, layer by
-layer; decoded bytes are also read as key containers (DER by its grammar, OpenSSH by its frame). What is found inside
-an encoded run blanks the run.
+in several pieces is one. Runs of base64, hex, percent or backslash escapes are decoded and searched again until nothing
+decodes, as every layer is shorter than the one around it; decoded bytes are also read as key containers by their
+grammar (DER and OpenSSH), and their stretches of UTF-8 and UTF-16 text are searched. What is found inside an encoded
+run blanks the run. A key block without an end is blanked to the end of its base64 body.
 
 Results: null and empty contents have no credentials; repeated rows of a file count once. Line numbers are 1-based and
 count ``\\n``; each is the line on which the credential begins, for joined literals the first. Whole texts are searched.
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from cairnfield.functions.arrow import map_rows, spread
 
-MAX_LAYERS = 5
 BLANK = "REDACTED"
 
 
@@ -63,6 +63,8 @@ OWN = re.compile(
 )
 LITERAL = re.compile(r"(?:[rbuf]{1,2})?(?:\"\"\"([\s\S]*?)\"\"\"|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)", re.I)
 CONFIG = re.compile(r"(?:\.(?:env|ya?ml|ini|cfg|conf|config|properties|toml|sh|bash|zsh|tf|tfvars|npmrc|pypirc|netrc|service|hcl)|/(?:dockerfile|makefile|procfile|credentials|config|\.npmrc|\.pypirc|\.netrc|\.pgpass))$|\.env\.[a-z.]+$|(?:^|/)\.?env$", re.I)
+OWN_LITERAL = re.compile(rf"({OWN.pattern})(?i:[rbuf]{{1,2}})?[\"'`]")
+CALL = re.compile(r"\w+\(")
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]]+")
 
 # What stands where a credential would.
@@ -81,7 +83,7 @@ DIGEST = re.compile(r"(?:sha\d{1,3}|md5)[-:=]", re.I)
 def strong(value: str) -> bool:
     """Whether a value given to a credential's name can be one."""
     n = len(value)
-    if n < 8 or n > 4096 or any(c.isspace() for c in value):
+    if n < 8 or any(c.isspace() for c in value):
         return False
     if PLACEHOLDER.search(value) or UUID.match(value) or DIGEST.match(value) or PATH.match(value) or DOTTED.match(value):
         return False
@@ -123,10 +125,43 @@ def der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
+OPENSSH = b"openssh-key-v1\0"
+# Object identifiers of password-based encryption (PKCS#5 and PKCS#12) and of PKCS#7 data.
+PBE = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
+PKCS7_DATA = b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x01"
+
+
+def openssh_container(data: bytes) -> bool:
+    """Whether bytes are an OpenSSH key: cipher, key derivation, its options, public keys, private block, by their lengths."""
+    at = len(OPENSSH)
+
+    def field() -> bytes | None:
+        nonlocal at
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or end > len(data):
+            return None
+        out, at = data[at + 4 : end], end
+        return out
+
+    cipher, derivation, options = field(), field(), field()
+    if not cipher or not derivation or options is None or at + 4 > len(data):
+        return False
+    count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= count <= len(data) // 4:
+        return False
+    for _ in range(count):
+        public = field()
+        if not public or int.from_bytes(public[:4], "big") > len(public) - 4:
+            return False
+    private = field()
+    # Unencrypted private blocks begin with one random number, twice.
+    return bool(private) and len(private) % 8 == 0 and (cipher != b"none" or private[:4] == private[4:8])
+
+
 def private_container(data: bytes) -> bool:
-    """Whether bytes are a private key: PKCS#1, PKCS#8, SEC1, an encrypted PKCS#8 or an OpenSSH container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
+    """Whether bytes are a private key: PKCS#1, PKCS#8, SEC1, DSA, an encrypted PKCS#8, PKCS#12 or an OpenSSH container."""
+    if data.startswith(OPENSSH):
+        return openssh_container(data)
     top = der(data, 0, len(data))
     if not top or top[0] != 0x30 or top[2] < len(data) - 3:
         return False
@@ -148,9 +183,12 @@ def private_container(data: bytes) -> bool:
             return True  # SEC1
         if version == 0 and len(tags) == 6 and set(tags) == {0x02}:
             return True  # DSA
+        if version == 3 and tags[1:2] == [0x30]:
+            inner = der(data, items[1][1], items[1][2])
+            return bool(inner and inner[0] == 0x06 and data[inner[1] : inner[2]] == PKCS7_DATA)  # PKCS#12
     if tags == [0x30, 0x04]:
         inner = der(data, items[0][1], items[0][2])
-        return bool(inner and inner[0] == 0x06 and data[inner[1] : inner[1] + 8] == b"\x2a\x86\x48\x86\xf7\x0d\x01\x05")
+        return bool(inner and inner[0] == 0x06 and data[inner[1] : inner[2]].startswith(PBE))
     return False
 
 
@@ -158,7 +196,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]++(?<=[A-Za-z0-9+/_-]{24})={0,2}")
 ESCAPES = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u00[0-9a-fA-F]{2}){8,}")
 PERCENTS = re.compile(r"(?:[A-Za-z0-9._~-]{0,40}%[0-9a-fA-F]{2}){3,}[A-Za-z0-9._~-]*")
 HEX = re.compile(r"(?:[0-9a-fA-F]{2}){16,}\Z")
-TEXT = re.compile(rb"[\t\n\r\x20-\x7e]+\Z")
+# Stretches of bytes that are text: UTF-8, or the ASCII part of UTF-16.
+TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}|(?:\0[\t\n\r\x20-\x7e]){12,}")
 
 
 def unescaped(run: str) -> bytes:
@@ -181,6 +221,15 @@ def unpacked(run: str) -> bytes | None:
         return None
 
 
+def texts(data: bytes) -> Iterator[str]:
+    """The stretches of text in decoded bytes."""
+    for m in TEXT.finditer(data):
+        yield m[0].decode("utf-8", "replace")
+    if b"\0" in data:
+        for m in WIDE.finditer(data):
+            yield m[0].replace(b"\0", b"").decode("ascii")
+
+
 def layers(text: str) -> Iterator[tuple[int, int, bytes]]:
     """(begin, end, bytes) of every run of a text that decodes."""
     for m in RUN.finditer(text):
@@ -217,14 +266,42 @@ def joined(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), inside, outside
 
 
-def _search(text: str, low: str, config: bool, layer: int) -> Iterator[tuple[str, int, int, int]]:
+# One line of a key's body, with what may stand around it: comment signs, quotes, escaped line ends.
+KEY_LINE = re.compile(r"((?:[ \t#>|\"'`,;]|(?://|/?\*)[ \t]|\r?\n|\\[nrt]|\\\r?\n)*)([A-Za-z0-9+/]+={0,2})(?=[ \t]*(?:\r?\n|[\"'`,;\\]|\Z))")
+KEY_HEADER = re.compile(r"(?:[ \t#>|\"'`,;]|(?://|/?\*)[ \t]|\r?\n|\\[nrt])*(?:[A-Z][A-Za-z]*-[A-Z][A-Za-z]*|Comment|Version|Hash):[^\n\\]*")
+
+
+def body_end(text: str, at: int) -> int:
+    """Where the base64 body that begins at ``at`` ends: after lines of one width and a shorter one."""
+    while m := KEY_HEADER.match(text, at):
+        at = m.end()
+    width = 0
+    while m := KEY_LINE.match(text, at):
+        size = len(m[2])
+        if width and (size > width or not m[1] or m[1].count("\n") > 1):
+            break
+        at = m.end()
+        if size < width:
+            break
+        width = size
+    return at
+
+
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the private key blocks of a text; one without an end of its own ends with its body."""
+    blocks = list(BEGIN_KEY.finditer(text))
+    for m, after in zip(blocks, [*(b.start() for b in blocks[1:]), len(text)]):
+        end = END_KEY.search(text, m.end(), after)
+        stop = end.start() if end else body_end(text, m.end())
+        if len(re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", text[m.end() : stop])) >= 40:
+            yield m.start(), end.end() if end else stop
+
+
+def _search(text: str, low: str, config: bool) -> Iterator[tuple[str, int, int, int]]:
     """(kind, begin, begin and end of what is blanked) in a text without glue."""
     if "-----BEGIN " in text:
-        for m in BEGIN_KEY.finditer(text):
-            end = END_KEY.search(text, m.end())
-            body = text[m.end() : end.start() if end else m.end() + 8192]
-            if len(re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", body)) >= 40:
-                yield "private_key", m.start(), m.start(), end.end() if end else m.end() + len(body)
+        for begin, end in key_blocks(text):
+            yield "private_key", begin, begin, end
     if any(h in text for h in KNOWN_HINTS):
         for m in KNOWN.finditer(text):
             if real(m[0]):
@@ -257,14 +334,17 @@ def _search(text: str, low: str, config: bool, layer: int) -> Iterator[tuple[str
     if any(h in low for h in NAME_HINTS):
         for m in NAME.finditer(low):
             yield from _named(text, low, m, config)
-    if layer < MAX_LAYERS:
-        for begin, end, data in layers(text):
-            if private_container(data):
-                yield "encoded_key", begin, begin, end
-            elif len(data) >= 12 and TEXT.match(data):
-                inner = data.decode("ascii")
-                if any(True for _ in _search(inner, inner.lower(), True, layer + 1)):
-                    yield "encoded", begin, begin, end
+    for begin, end, data in layers(text):
+        if private_container(data):
+            yield "encoded_key", begin, begin, end
+        elif any(True for inner in texts(data) for _ in _search(inner, lowered(inner), True)):
+            yield "encoded", begin, begin, end
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, letter by letter, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def _named(text: str, low: str, m: re.Match, config: bool) -> Iterator[tuple[str, int, int, int]]:
@@ -279,14 +359,12 @@ def _named(text: str, low: str, m: re.Match, config: bool) -> Iterator[tuple[str
     start = head.end() if text[at : head.end()].count("\n") <= 2 else at
     line_end = text.find("\n", start)
     line_end = line_end if line_end >= 0 else len(text)
-    rhs = text[start:line_end]
-    literal = LITERAL.search(text, start, min(line_end, start + 4200)) if any(q in rhs for q in "\"'`") else None
-    if literal is None and ("`" in rhs or '"""' in rhs):
-        literal = LITERAL.match(text, start)
-    between = text[start : literal.start()] if literal else ""
     # Only what can stand before a name's own value: look-ups with a fallback, and wrappers that take one literal.
-    if literal and not OWN.fullmatch(between):
+    own = OWN_LITERAL.match(text, start, line_end)
+    literal = LITERAL.match(text, own.end(1)) if own else None
+    if literal is None and (literal := LITERAL.match(text, start)) and literal[1] is None and literal[4] is None:
         literal = None
+    between = text[start : literal.start()] if literal else ""
     quoted_name = m[0].rstrip().endswith(",")
     if literal:
         group = next(k for k in range(1, 5) if literal[k] is not None)
@@ -316,7 +394,7 @@ def _named(text: str, low: str, m: re.Match, config: bool) -> Iterator[tuple[str
                 yield "named", start, default.start(1), default.end(1)
             return
         value = bare[0].rstrip(".") if was else bare[0]
-        if strong(value) and not re.match(r"\w+\(", text[start:line_end]):
+        if strong(value) and not CALL.match(text, start, line_end):
             yield "named", start, start, start + len(value)
 
 
@@ -325,11 +403,8 @@ def find(text: str | None, path: str | None = None) -> list[Finding]:
     if not text:
         return []
     whole, inside, outside = joined(text) if '"' in text or "'" in text or "`" in text else (text, [0], [0])
-    low = whole.lower()
-    if len(low) != len(whole):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in whole)
     config = bool(path and CONFIG.search(path))
-    found = sorted(_search(whole, low, config, 0), key=lambda x: (x[2], -x[3]))
+    found = sorted(_search(whole, lowered(whole), config), key=lambda x: (x[2], -x[3]))
     out: list[Finding] = []
     last = -1
     for kind, begin, first, end in found:

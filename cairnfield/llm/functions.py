@@ -30,6 +30,7 @@ ISLAND = {
 }
 ISLAND["typescript"] = ISLAND["javascript"]
 BEFORE_FUNCTION = re.compile(r"(?:^|[\n;{}])[ \t\r]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?\Z")
+HEAD_SIGN, INDENT, BLANKS = re.compile(r"[()\[\]{}:\n]"), re.compile(r"(?m)^([ \t]*)\S"), re.compile(r"[ \t]*")
 DOC_STRING = re.compile(r"""[ \t]*(?:[rRuU]?)(\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+')""")
 
 # Tool directives, which document nothing.
@@ -70,17 +71,16 @@ def unwrap(comment: str) -> str:
 
 def block_above(text: str, line_start: int) -> str | None:
     """The block comment that ends on the line before ``line_start`` and is the last thing on that line."""
-    above = text[:line_start].rstrip("\r\n") if line_start else ""
-    if text[len(above) : line_start].count("\n") != 1:
-        return None
-    above = above.rstrip(" \t")
-    if not above.endswith("*/"):
+    end = line_start - 1
+    while end > 0 and text[end - 1] in " \t\r":
+        end -= 1
+    if end < 2 or not text.endswith("*/", 0, end):
         return None
-    begin = above.rfind("/*", 0, len(above) - 2)
+    begin = text.rfind("/*", 0, end - 2)
     # A block ends at its first */, so an earlier /* that is still open owns the text.
-    while begin > 0 and (earlier := above.rfind("/*", 0, begin)) >= 0 and "*/" not in above[earlier + 2 : begin]:
+    while begin > 0 and (earlier := text.rfind("/*", 0, begin)) >= 0 and text.find("*/", earlier + 2, begin) < 0:
         begin = earlier
-    return above[begin:] if begin >= 0 and "*/" not in above[begin + 2 : -2] else None
+    return text[begin:end] if begin >= 0 and text.find("*/", begin + 2, end - 2) < 0 else None
 
 
 def lines_above(text: str, line_start: int) -> str | None:
@@ -105,14 +105,14 @@ def python_doc(text: str, mask: str, at: int) -> tuple[str | None, int]:
     if mask[at] == "[":
         end = lexing.balanced(mask, mask.find("(", end)) if "(" in mask[end : end + 2] else end
     colon, depth = -1, 0
-    for m in re.finditer(r"[()\[\]{}:\n]", mask[end:]):
+    for m in HEAD_SIGN.finditer(mask, end):
         c = m[0]
         if c in "([{":
             depth += 1
         elif c in ")]}":
             depth -= 1
         elif c == ":" and not depth:
-            colon = end + m.start()
+            colon = m.start()
             break
         elif c == "\n" and not depth:
             break
@@ -122,9 +122,9 @@ def python_doc(text: str, mask: str, at: int) -> tuple[str | None, int]:
     # The def may have begun on an earlier line than its parameters' bracket only by a continuation.
     indent = len(mask[head:at]) - len(mask[head:at].lstrip(" \t"))
     body_end = len(text)
-    for m in re.finditer(r"(?m)^([ \t]*)\S", mask[colon:]):
-        if m.start() and len(m[1]) <= indent:
-            body_end = colon + m.start()
+    for m in INDENT.finditer(mask, colon + 1):
+        if len(m[1]) <= indent:
+            body_end = m.start()
             break
     after = colon + 1
     line_end = text.find("\n", after)
@@ -140,13 +140,13 @@ def python_doc(text: str, mask: str, at: int) -> tuple[str | None, int]:
             line_end = nxt
         if line_end < 0:
             return None, body_end
-        line = text[line_end + 1 : line_end + 400]
-        if len(line) - len(line.lstrip(" \t")) <= indent:
+        if BLANKS.match(text, line_end + 1).end() - line_end - 1 <= indent:
             return None, body_end
         m = DOC_STRING.match(text, line_end + 1)
     if not m:
         return None, body_end
-    tail = text[m.end() : text.find("\n", m.end()) if "\n" in text[m.end() :] else len(text)].strip()
+    tail_end = text.find("\n", m.end())
+    tail = text[m.end() : tail_end if tail_end >= 0 else len(text)].strip()
     if tail and tail[0] not in "#;":
         return None, body_end  # the string is only part of the statement
     raw = m[1]
@@ -172,7 +172,8 @@ def islands(text: str, language: str) -> Iterator[tuple[str, int, int, int, int,
     for m in ISLAND[language].finditer(mask):
         begin = m.start()
         if language in ("javascript", "typescript"):
-            head = BEFORE_FUNCTION.search(mask, max(0, begin - 80), begin)
+            line_at = max(mask.rfind("\n", 0, begin), 0)
+            head = BEFORE_FUNCTION.match(mask, max(line_at, *(mask.rfind(c, line_at, begin) for c in ";{}")), begin)
             if not head:
                 continue
             begin = head.start() + (len(head[0]) - len(head[0].lstrip("\n;{} \t\r")))

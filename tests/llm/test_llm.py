@@ -64,6 +64,59 @@ def test_nested_layers_and_containers():
     assert [f.kind for f in credentials.find('der = "' + base64.b64encode(sec1).decode() + '"', "a.py")] == ["encoded_key"]
 
 
+def test_layers_have_no_depth():
+    blob = 'password = "kk93mmQ2zz81ü"'.encode()
+    for n in range(12):
+        blob = base64.b64encode(blob) if n % 3 else blob.hex().encode() if n % 2 else base64.urlsafe_b64encode(blob)
+        text = f'a = 1\nx = "{blob.decode()}"\n'
+        found = credentials.find(text, "a.py")
+        assert [f.kind for f in found] == ["encoded"] and blob.decode() not in credentials.redact(text, found)
+
+
+@pytest.mark.parametrize("data", ['größe: 1\npassword: "kk93mmQ2zz81"'.encode(), b"\x00\x01\xff\x00password = 'kk93mmQ2zz81'\x00\xfe", "password = 'kk93mmQ2zz81'".encode("utf-16-le"), "password = 'kk93mmQ2zz81'".encode("utf-16")])
+def test_layers_that_are_not_plain_ascii(data):
+    assert credentials.find(f'x = "{base64.b64encode(data).decode()}"', "a.py")
+
+
+def test_values_of_any_length():
+    rng = random.Random(1)
+    for n in (4000, 4404, 70_000):
+        value = "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(n))
+        text = f'a = 1\npassword = "{value}"\nb = 2\n'
+        assert credentials.redact(text, credentials.find(text, "a.py")) == 'a = 1\npassword = "REDACTED"\nb = 2\n'
+
+
+@pytest.mark.parametrize("width", [4, 64, 100_000])
+@pytest.mark.parametrize("style", ["{}\n", "# {}\n", "    {}\n", "{}\\n", "'{}' +\n"])
+def test_key_without_an_end(width, style):
+    rng = random.Random(2)
+    body = "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(19_500))
+    lines = "".join(style.format(body[k : k + width]) for k in range(0, len(body), width))
+    text = "first = 1\n" + style.format("-----BEGIN RSA PRIVATE KEY-----") + lines + "\nlast = compute(first)\n"
+    clean = credentials.redact(text, credentials.find(text, "a.py"))
+    assert clean.startswith("first = 1\n") and clean.endswith("\nlast = compute(first)\n") and clean.count("\n") == text.count("\n")
+    assert not any(body[k : k + 8] in clean for k in range(0, len(body) - 8, 4))
+
+
+def test_a_key_without_an_end_before_another():
+    text = KEY.replace("-----END EC PRIVATE KEY-----\n", "") + "x = 1\n" + KEY + "y = 1\n"
+    clean = credentials.redact(text, credentials.find(text, "a.py"))
+    assert "x = 1\n" in clean and "y = 1\n" in clean and "Ab3" not in clean
+
+
+def openssh(private, cipher=b"none", count=1):
+    field = lambda data: len(data).to_bytes(4, "big") + data
+    return b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + count.to_bytes(4, "big") + field(field(b"ssh-ed25519") + field(bytes(32))) * count + field(private)
+
+
+def test_openssh_by_its_grammar():
+    good = openssh(b"\1\2\3\4\1\2\3\4" + bytes(64))
+    assert credentials.private_container(good) and credentials.private_container(openssh(bytes(range(64)), b"aes256-ctr"))
+    for bad in (b"openssh-key-v1\0junk", good[:-1], good[:40], openssh(bytes(range(64))), openssh(b""), openssh(bytes(64), count=0)):
+        assert not credentials.private_container(bad)
+    assert [f.kind for f in credentials.find('k = "' + base64.b64encode(good).decode() + '"', "a.py")] == ["encoded_key"]
+
+
 def test_credentials_on_tables(spark):
     df = files(spark, [(1, 1, "a.py", "python", 'password = "kk93mmQ2zz81"'), (1, 1, "a.py", "python", 'password = "kk93mmQ2zz81"'), (2, 1, None, None, None), (3, None, "b.py", "python", "")])
     assert rows(credentials.found_lines(df)) == [(1, 1)]
