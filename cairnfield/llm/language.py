@@ -32,7 +32,7 @@ FIT_DOCUMENTS, FIT_SENTENCES = 400, 900
 WINDOW, STRIDE = 96, 64
 WIDTHS, FILTERS = (2, 3, 4, 5), 24
 LEAST_STEPS = 400
-#: Words that make a sentence, and the confidence from which its language counts.
+#: Words that make a sentence where no full stop ends it, and the confidence from which its language counts.
 LEAST_WORDS, SURE = 4, 0.85
 
 FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
@@ -44,21 +44,38 @@ ITEM = re.compile(r"(?m)^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+(?:\[[ xX]\][ \t]+)
 QUOTE_MARK = re.compile(r"(?m)^[ \t]*(?:>[ \t]?)+")
 ENDS = re.compile(r"(?<=[.!?…])[\"”’»)\]]*\s+(?=[\"“„«‘(\[¿¡]*[A-ZÀ-ÖØ-ÞŒ\d])")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-NEUTRAL = re.compile(r"\S*\d\S*|\S*[/\\@_=]\S*")
+FULL_STOP = re.compile(r"[.!?…][\"”’»)\]*_~]*\s*\Z")
+NEUTRAL = re.compile(r"[\d/\\@_=]")
+QUOTES, BREAK = re.compile(r"[“„«\"‘‹]"), re.compile(r"\n[ \t]*\n")
+# Marks without which a pattern can't match, so most texts skip most patterns.
+HEADING_MARKS = ("#", "===", "---", "|", "***", "___", "- -", "* *", "_ _")
+
+
+def _blank(m: re.Match) -> str:
+    return re.sub(r"[^\n]", " ", m[0])
+
+
+def _quoted(q: re.Match) -> str:
+    return " " if len(q[1].split()) <= 6 and not re.search(r"[.!?]$", q[1]) else q[1]
 
 
 def sentences(text: str | None) -> Iterator[tuple[int, int, str]]:
     """(begin, end, words) of the sentences of a text: the words are cleaned of markup, numbers and names of things."""
     if not text:
         return
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    clean = FENCE.sub(blank, text)
+    clean = FENCE.sub(_blank, text) if "```" in text or "~~~" in text else text
     if clean.startswith("---\n") and (close := clean.find("\n---", 4)) > 0:
         clean = re.sub(r"[^\n]", " ", clean[: close + 4]) + clean[close + 4 :]
-    clean = INLINE.sub(blank, HEADING.sub(blank, clean))
-    clean = MARKUP.sub(blank, QUOTE_MARK.sub(blank, clean))
+    if any(mark in clean for mark in HEADING_MARKS):
+        clean = HEADING.sub(_blank, clean)
+    if "`" in clean or "[" in clean or "<" in clean or "://" in clean:
+        clean = INLINE.sub(_blank, clean)
+    if ">" in clean:
+        clean = QUOTE_MARK.sub(_blank, clean)
+    if "*" in clean or "_" in clean or "~" in clean:
+        clean = MARKUP.sub(_blank, clean)
     # A list item begins a paragraph of its own.
-    starts = [0, *(m.start() for m in ITEM.finditer(clean)), *(m.end() for m in re.finditer(r"\n[ \t]*\n", clean)), len(clean)]
+    starts = [0, *(m.start() for m in ITEM.finditer(clean)), *(m.end() for m in BREAK.finditer(clean)), len(clean)]
     starts = sorted(set(starts))
     for begin, end in zip(starts, starts[1:]):
         part = clean[begin:end]
@@ -67,10 +84,11 @@ def sentences(text: str | None) -> Iterator[tuple[int, int, str]]:
         for stop in [*(e.start() for e in ENDS.finditer(part, at)), len(part)]:
             piece = part[at:stop]
             if piece.strip():
-                plain = QUOTED.sub(lambda q: " " if len(q[1].split()) <= 6 and not re.search(r"[.!?]$", q[1]) else q[1], piece)
-                kept = NEUTRAL.sub(" ", plain)
+                kept = QUOTED.sub(_quoted, piece) if QUOTES.search(piece) else piece
+                if NEUTRAL.search(kept):
+                    kept = " ".join(t for t in kept.split() if not NEUTRAL.search(t))
                 found = WORD.findall(kept)
-                if len(found) >= LEAST_WORDS and sum(map(len, found)) >= 14:
+                if len(found) >= LEAST_WORDS or len(found) > 1 and FULL_STOP.search(piece) and found[0][0].isupper():
                     lead = len(piece) - len(piece.lstrip())
                     yield begin + at + lead, begin + at + len(piece.rstrip()), " ".join(found).lower()
             at = stop

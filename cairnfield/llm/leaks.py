@@ -26,8 +26,8 @@ LEAST_WORDS = 13
 SHARD_WORDS = 400_000
 #: Every so many positions of the text keep their place in the suffix array.
 SAMPLE = 8
-#: Items may take so many characters in all: they are sent to every executor.
-MAX_ITEM_CHARS = 64_000_000
+#: Characters of items that are sent to every executor at once; more items are searched for in as many rounds as they need.
+ROUND_CHARS = 64_000_000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -217,14 +217,26 @@ def search_shard(texts: list[tuple[int, list[int]]], phrases: Phrases, sample: i
         yield texts[doc][0], item, first, last + least
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, item_id, first_word, end_word) of every passage of an item inside a document."""
+def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, shard_words: int = SHARD_WORDS, round_chars: int = ROUND_CHARS) -> DataFrame:
+    """(doc_id, item_id, first_word, end_word) of every passage of an item inside a document.
+
+    Items of more than ``round_chars`` characters in all are dealt out by a hash of their ids to rounds of about that
+    size, each of which reads all documents.
+    """
+    size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    rounds = max(1, -(-size // round_chars))
+    found = None
+    for k in range(rounds):
+        part = items if rounds == 1 else items.filter(F.pmod(F.xxhash64(F.col("item_id").cast("bigint")), F.lit(rounds)) == k)
+        spans = _spans_of(documents, part, least, shard_words)
+        found = spans if found is None else found.unionByName(spans)
+    return found
+
+
+def _spans_of(documents: DataFrame, items: DataFrame, least: int, shard_words: int) -> DataFrame:
     import pyarrow as pa
 
     spark: SparkSession = documents.sparkSession
-    size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_CHARS:
-        raise ValueError("the items are too large to send to every executor; search them in parts")
     phrases = Phrases([(r[0], r[1]) for r in items.select(F.col("item_id").cast("bigint"), "text").distinct().collect()], least)
     shared = spark.sparkContext.broadcast(phrases)
     schema = "doc_id bigint, item_id bigint, first_word int, end_word int"

@@ -465,6 +465,14 @@ def test_leaks(spark):
     assert rows(leaks.leaks(docs.limit(0), items)) == [] and rows(leaks.leaks(docs, items.limit(0))) == []
 
 
+def test_leaks_in_rounds(spark):
+    item = lambda n: " ".join(f"w{n}x{k}" for k in range(15))
+    docs = spark.createDataFrame([(n, f"a {item(n)} b {item(n + 1)}") for n in range(12)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(n, item(n)) for n in range(12)], "item_id bigint, text string")
+    want = rows(leaks.leaked_spans(docs, items))
+    assert len(want) == 23 and rows(leaks.leaked_spans(docs, items, round_chars=300)) == want
+
+
 # 10
 
 SENTENCES = {
@@ -474,6 +482,10 @@ SENTENCES = {
 }
 
 
+def test_short_sentences_count():
+    assert [w for _, _, w in language.sentences("Das ist gut. Ok.\n\nC'est bien !\n\n- Sehr gut\n- Bien sûr.\n\nnote\n")] == ["das ist gut", "c'est bien", "bien sûr"]
+
+
 def corpus(n=90):
     rng = random.Random(4)
     out = []
