@@ -1,18 +1,24 @@
 """Personal information in free text, found and replaced by typed placeholders (problem 3).
 
 Weak supervision. Patterns propose spans of each kind. Labelers vote on each span: its form, gazetteers, and the words
-beside it say yes, no or nothing. Over a bounded sample of notes, expectation-maximisation estimates how reliable each
-labeler is, without labels, and so a probability for each span. On these a logistic span classifier is trained, over
-the votes and over hashed features of the span and its context; it decides on every span of every note.
+beside it say yes, no or nothing. Over all notes the patterns of votes are counted, and expectation-maximisation
+estimates from these counts how reliable each labeler is, without labels, and so a probability for each pattern. On
+these a logistic span classifier is trained, over the votes and over hashed features of the span and its context; it
+decides on every span of every note. A gazetteer that doesn't know a name abstains, and the classifier also sees each
+name of the sample without its gazetteer vote and its own words, so that it learns what stands around names. Names of
+things (teams, products, towns) are learned from all notes: word pairs that come up often, of which the first word
+hardly ever goes with another; for these the gazetteer says no.
 
 Results: null and empty bodies hold nothing; overlapping spans are settled in favour of the likelier one; repeated
-rows count once. Bodies are read whole. The fit is bounded by ``FIT_NOTES`` notes, taken by a hash of their ids.
+rows count once. Bodies are read whole. Reliabilities come from all notes; the classifier's sample is bounded by
+``FIT_NOTES`` notes and ``FIT_SPANS`` spans, both in the order of a hash of the note's id.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,33 +26,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.arrow import map_rows, spread
+from cairnfield.functions.lineage import cut
 
 KINDS = ("email", "phone", "id_number", "street_address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[STREET_ADDRESS]", "name": "[NAME]"}
 #: Notes the model is fitted on, and spans kept of them: the bounds of what reaches the driver.
 FIT_NOTES, FIT_SPANS = 3000, 40_000
 DIMENSIONS = 1 << 14
+#: A pair of words names a thing if it makes up this share of all names that no gazetteer knows (so there are at most
+#: ``1 / THING_SHARE`` things) and this share of what its first word begins.
+THING_SHARE, THING_FIRST = 1 / 2000, 0.9
 
 UP, LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 WORD = rf"[{UP}](?:['’][{UP}])?[{LOW}]+(?:-[{UP}][{LOW}]+)*"
 
 PATTERNS = {
-    "email": re.compile(
-        r"(?<![\w.+@-])[\w.+'-]*[\w+]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]|\.[A-Za-z0-9])"
-        r"|(?<![\w.+@-])[\w.+'-]*[\w+] ?(?:\(at\)|\[at\]|\{at\}|<at>) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\.) ?[A-Za-z0-9-]+)*? ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\.) ?[A-Za-z]{2,}(?![\w@])(?! ?(?:\(dot\)|\[dot\]))"
-        r"|(?<![\w.+@-])[\w.+'-]*[\w+] @ [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]|\.[A-Za-z0-9])"
-        r"|(?<![\w.+@-])[\w.+-]*\w at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot [A-Za-z]{2,}(?!\w)"
+    "email": (
+        re.compile(r"(?<![\w.+@-])[\w.+'-]*[\w+]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]|\.[A-Za-z0-9])|(?<![\w.+@-])[\w.+'-]*[\w+] @ [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]|\.[A-Za-z0-9])"),
+        re.compile(r"(?<![\w.+@-])[\w.+'-]*[\w+] ?(?:\(at\)|\[at\]|\{at\}|<at>) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\.) ?[A-Za-z0-9-]+)*? ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\.) ?[A-Za-z]{2,}(?![\w@])(?! ?(?:\(dot\)|\[dot\]))"),
+        re.compile(r"(?<![\w.+@-])[\w.+-]*\w at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot [A-Za-z]{2,}(?!\w)"),
     ),
-    "phone": re.compile(r"(?<![\w.,/:#$€£-])(?:\+\d{1,3}[ .-]?)?(?:\(0?\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]\d{1,8}|/\d{3,8}){1,6}(?![\w/]|[.,:]\d|-\w)|(?<![\w.])(?:\+|00)\d{9,14}(?!\w)|(?<![\w.,/:#-])0\d{9,11}(?!\w|[.,:]\d)"),
-    "id_number": re.compile(r"(?<![\w.,/:#$€£-])(?:[A-Z]{1,4}-?)?\d(?:[\d -]{4,18})\d(?:[ -]?[A-Z]\d?)?(?![\w/]|[.,:]\d|-\w)|(?<![\w.,/:#-])[A-Z]{1,2}[A-Z\d]{1,3}\d{4,9}[A-Z\d]{0,3}(?![\w-])"),
-    "street_address": re.compile(
-        rf"(?<![\w.,/-])\d{{1,5}}[a-zA-Z]? (?:{WORD} ){{1,3}}(?:Street|St\.|St\b|Avenue|Ave|Road|Rd|Lane|Ln|Close|Boulevard|Blvd|Drive|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Row|Crescent|Hill|Gardens|Parkway|Pkwy|Alley|Mews)(?!\w)"
-        rf"|(?<![\w.,/-])\d{{1,5}}[a-zA-Z]?(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|all[ée]e|impasse|quai|route|cours|square)(?: (?:de la|de l['’]|des|du|de|d['’]|la|le))? ?{WORD}(?:[ -]{WORD})*"
-        rf"|(?<!\w)(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Carrera|Camino|Ronda|Via|Viale|Piazza|Corso|Rua|Praça|Largo|Travessa)(?: (?:de la|de los|de las|de|del|della|dei|do|da|dos|das))? {WORD}(?: {WORD})*,? \d{{1,5}}[a-zA-Z]?(?![\w.])"
-        rf"|(?<!\w)(?:{WORD}[ -])?[{UP}][{LOW}]+(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|steig|pfad|straat|laan|plein|gracht|kade|dijk) \d{{1,4}}[a-zA-Z]?(?![\w.])"
+    "phone": (re.compile(r"(?<![\w.,/:#$€£-])(?:\+\d{1,3}[ .-]?)?(?:\(0?\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]\d{1,8}|/\d{3,8}){1,6}(?![\w/]|[.,:]\d|-\w)|(?<![\w.])(?:\+|00)\d{9,14}(?!\w)|(?<![\w.,/:#-])0\d{9,11}(?!\w|[.,:]\d)"),),
+    "id_number": (re.compile(r"(?<![\w.,/:#$€£-])(?:[A-Z]{1,4}-?)?\d(?:[\d -]{4,18})\d(?:[ -]?[A-Z]\d?)?(?![\w/]|[.,:]\d|-\w)|(?<![\w.,/:#-])[A-Z]{1,2}[A-Z\d]{1,3}\d{4,9}[A-Z\d]{0,3}(?![\w-])"),),
+    "street_address": (
+        re.compile(
+            rf"(?<![\w.,/-])\d{{1,5}}[a-zA-Z]? (?:{WORD} ){{1,3}}(?:Street|St\.|St\b|Avenue|Ave|Road|Rd|Lane|Ln|Close|Boulevard|Blvd|Drive|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Row|Crescent|Hill|Gardens|Parkway|Pkwy|Alley|Mews)(?!\w)"
+            rf"|(?<![\w.,/-])\d{{1,5}}[a-zA-Z]?(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|all[ée]e|impasse|quai|route|cours|square)(?: (?:de la|de l['’]|des|du|de|d['’]|la|le))? ?{WORD}(?:[ -]{WORD})*"
+        ),
+        re.compile(rf"(?<!\w)(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Carrera|Camino|Ronda|Via|Viale|Piazza|Corso|Rua|Praça|Largo|Travessa)(?: (?:de la|de los|de las|de|del|della|dei|do|da|dos|das))? {WORD}(?: {WORD})*,? \d{{1,5}}[a-zA-Z]?(?![\w.])"),
+        re.compile(rf"(?<!\w)(?:{WORD}[ -])?[{UP}][{LOW}]+(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|steig|pfad|straat|laan|plein|gracht|kade|dijk) \d{{1,4}}[a-zA-Z]?(?![\w.])"),
     ),
-    "name": re.compile(rf"(?<![\w’'@./+-])(?:{WORD} (?:[{UP}]\. |(?:van|von|de|der|del|da|di|du|la|le|ten|ter|el|bin|ibn) ){{0,2}}{WORD}|[{UP}]{{2,}} (?:[{UP}]\. )?[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@]|['’][a-z]{{2}})"),
+    "name": (re.compile(rf"(?<![\w’'@./+-])(?:{WORD} (?:[{UP}]\. |(?:van|von|de|der|del|da|di|du|la|le|ten|ter|el|bin|ibn) ){{0,2}}{WORD}|[{UP}]{{2,}} (?:[{UP}]\. )?[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@]|['’][a-z]{{2}})"),),
 }
+# A place where digits stand close enough for a number of a person, and a house number.
+NUMBER_ZONE, HOUSE = re.compile(r"\d(?:\D{0,3}\d){5}"), re.compile(r" \d")
+STREET_ENDS = ("straße", "strasse", "str.", "weg", "allee", "gasse", "platz", "ring", "damm", "ufer", "steig", "pfad", "straat", "laan", "plein", "gracht", "kade", "dijk")
+STREET_WORDS = re.compile(r"Calle|Aven|Avda|Pla|Paseo|Carrera|Camino|Ronda|Via|Piazza|Corso|Rua|Pra|Largo|Trav")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+
+
+def is_account(found: str) -> bool:
+    """Whether a text is an account number by its check digits; such numbers are neither phones nor of documents."""
+    plain = found.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _lines(text: str, zones: re.Pattern) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the lines of a text that have a zone."""
+    at = 0
+    while m := zones.search(text, at):
+        begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        end = end if end >= 0 else len(text)
+        yield max(begin, at), end
+        at = end
+
+
+def proposals(text: str, kind: str) -> Iterator[re.Match]:
+    """What the patterns of a kind find; texts and lines without a pattern's marks are skipped."""
+    patterns = PATTERNS[kind]
+    if kind == "email":
+        near = ("@" in text, "at)" in text or "at]" in text or "at}" in text or "at>" in text, " dot " in text)
+        for pattern, go in zip(patterns, near):
+            if go:
+                yield from pattern.finditer(text)
+    elif kind in ("phone", "id_number"):
+        accounts = None
+        for begin, end in _lines(text, NUMBER_ZONE):
+            for m in patterns[0].finditer(text, begin, end):
+                if accounts is None:
+                    accounts = [a.span() for a in IBAN.finditer(text) if is_account(a[0])]
+                if not any(m.start() < b and m.end() > a for a, b in accounts):
+                    yield m
+    elif kind == "street_address":
+        yield from patterns[0].finditer(text)
+        if STREET_WORDS.search(text):
+            yield from patterns[1].finditer(text)
+        if any(text.endswith(STREET_ENDS, max(0, m.start() - 8), m.start()) for m in HOUSE.finditer(text)):
+            yield from patterns[2].finditer(text)
+    else:
+        yield from patterns[0].finditer(text)
 
 # Gazetteers.
 GIVEN = frozenset(
@@ -73,7 +131,7 @@ LEFT_YES = {
     "phone": re.compile(r"(?i)(?:\b(?:call|phone|tel(?:ephone|\.)?|mobile|cell|fax|reachable|numbers?|ring|dial|au|anrufen|ruf|reach|text|sms)\b[^\w+(]*(?:me|under|on|at|is|us)?|phone=|\bunder|/)\W*$"),
     "id_number": re.compile(r"(?i)(?:passport|licen[cs]e|social(?: security)?|ssn|tax|insurance|national id|identity|id|dni|nif|nie|steuer-?id|ni|nino|personalausweis|ausweis|cpf|siren|codice fiscale|bsn)(?: (?:card|number|no\.?|nr\.?|num|id|security number))?\W*(?:is|:|=)?\W*$"),
     "street_address": re.compile(r"(?i)(?:\b(?:at|to|lives|live|en|moves|address|in|from|vive|habite|wohnt|residing|badge|went|visit)\b|^|\n|\||:)\W*$"),
-    "name": re.compile(r"(?:\b(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|M|Sra?|Don|Doña)\.? |(?:ask for|Spoke with|Ping|Joindre|Bitte|parcel for|from|Contact|contact|by|owner|author|with|and|As|assigned_to|to|Signed,|Regards,|Thanks,|[Dd]ear|[A-Z][a-z]+day)[\s|:]+|\[[ x]\] )$"),
+    "name": re.compile(r"(?:\b(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|M|Sra?|Don|Doña)\.? |(?i:ask|asked|ask for|call|called|met|meet|meeting with|saw|told|tell|thank|thanks to|invited?|hired?|interviewed|emailed|phoned|emergency|spoke with|ping|joindre|bitte|contact|parcel for|from|by|owner|author|with|and|as|assigned_to|to|signed,|regards,|thanks,|dear|[a-z]+day)[\s|:]+|\[[ x]\] )$"),
 }
 LEFT_NO = {
     "email": re.compile(r"(?i)(?:clone with|git|ssh://|remote)\W*$"),
@@ -87,7 +145,7 @@ RIGHT_YES = {
     "phone": re.compile(r"(?i)\W*(?:ext|if\b|or\b|avant|sonst|between|before|please|\||\)|/|$)"),
     "id_number": re.compile(r"(?i)\W*(?:and\b|in the|$|\n|\.)|\)"),
     "street_address": re.compile(r"(?:,|\.|\n|$| by | in | \(|;)"),
-    "name": re.compile(r"(?:,| (?:said|wrote|left|moves|went|about|anrufen|au|asked|called|<|\||lives|joined|is|has|was|will|replied)\b| <| \||\.|\n|$)"),
+    "name": re.compile(r"(?:,| (?:said|says|wrote|writes|left|moves|went|about|anrufen|au|asked|asks|called|calls|told|thinks|agreed|agrees|suggested|noted|reported|works|worked|<|\||lives|joined|is|has|was|will|replied)\b| <| \||\.|\n|$)"),
 }
 RIGHT_NO = {
     "email": re.compile(r":\w"),
@@ -132,14 +190,12 @@ def spans(text: str) -> list[Span]:
     """All proposed spans of a text, with votes and features."""
     out = []
     for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text and "at" not in text:
-            continue
-        for m in PATTERNS[kind].finditer(text):
+        for m in proposals(text, kind):
             begin, end = m.span()
             found = m[0]
             if kind == "name" and found[0].isupper() and found.split(" ", 1)[0].lower() in COMMON:
                 # A sentence's first word isn't a given name; the name may begin after it.
-                inner = PATTERNS["name"].match(text, begin + found.index(" ") + 1)
+                inner = PATTERNS["name"][0].match(text, begin + found.index(" ") + 1)
                 if not inner:
                     continue
                 begin, end = inner.span()
@@ -148,6 +204,11 @@ def spans(text: str) -> list[Span]:
                 against = True
             else:
                 against = False
+            if kind == "name":
+                ends = found.lower().split(" ")
+                known = found.split(" ", 1)[0] in GIVEN or found.isupper() and found.split(" ", 1)[0] in GIVEN_UPPER
+                if ends[-1] in COMMON or not known and (ends[0] in PLACE or ends[-1] in PLACE):
+                    continue
             if kind in ("phone", "id_number") and not 6 <= sum(c.isdigit() for c in found) <= 15:
                 continue
             if kind == "phone" and found[0] == "(" and ")" not in found:
@@ -156,7 +217,7 @@ def spans(text: str) -> list[Span]:
             words = re.findall(r"[^\W_]+", found)
             gazetteer = 0
             if kind == "name":
-                gazetteer = 1 if words[0] in GIVEN or words[0] in GIVEN_UPPER and found.isupper() else -1
+                gazetteer = 1 if known else 0
             elif kind == "street_address":
                 gazetteer = -1 if re.search(r"\b(?:Long|Main|Hard)\b", found) else 0
             elif kind == "email":
@@ -190,27 +251,35 @@ def spans(text: str) -> list[Span]:
                 _hashed(kind, "after", right[:1]),
             ]
             if kind in ("name", "street_address"):
-                features += [_hashed(kind, "first", words[0].lower()), _hashed(kind, "end", words[-1].lower()[-4:])]
+                own = (_hashed(kind, "first", words[0].lower()), _hashed(kind, "end", words[-1].lower()[-4:]))
+                features += own
             features += [(k * len(VOTERS) + j) * 2 + (v > 0) for j, v in enumerate(votes) if v]
             out.append(Span(k, begin, end, votes, tuple(features)))
     return out
 
 
-def reliabilities(votes: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Probability that each span is true, from votes (-1, 0, 1) alone: EM over independent labelers."""
+def reliabilities(votes: np.ndarray, rounds: int = 40, counts: np.ndarray | None = None) -> np.ndarray:
+    """Probability that each span is true, from votes (-1, 0, 1) alone: EM over independent labelers.
+
+    ``counts`` says how many spans each row stands for. A gazetteer's silence is no evidence, as no list is complete.
+    """
     n, m = votes.shape
     if not n:
         return np.zeros(0)
+    size = np.ones(n) if counts is None else counts.astype(float)
+    total = size.sum()
     # Labelers start out as mostly right and keep a part of that belief, so that the classes can't change places;
     # the gazetteer and the counter-evidence are believed most, the form (which proposed the span) least.
     p = 1 / (1 + np.exp(-(votes @ START - 0.5).astype(float)))
-    weight = max(4.0, 0.05 * n)
+    weight = max(4.0, 0.05 * total)
     one_hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    heard = one_hot.copy()
+    heard[:, VOTERS.index("gazetteer"), 1] = 0.0
     for _ in range(rounds):
-        prior = np.clip((p.sum() + 1) / (n + 2), 0.02, 0.98)
-        yes = (np.einsum("n,nmv->mv", p, one_hot) + weight * BELIEF) / (p.sum() + weight)
-        no = (np.einsum("n,nmv->mv", 1 - p, one_hot) + weight * BELIEF[::-1]) / ((1 - p).sum() + weight)
-        log = np.log(prior / (1 - prior)) + np.einsum("mv,nmv->n", np.log(yes) - np.log(no), one_hot)
+        prior = np.clip((p @ size + 1) / (total + 2), 0.02, 0.98)
+        yes = (np.einsum("n,nmv->mv", p * size, one_hot) + weight * BELIEF) / (p @ size + weight)
+        no = (np.einsum("n,nmv->mv", (1 - p) * size, one_hot) + weight * BELIEF[::-1]) / ((1 - p) @ size + weight)
+        log = np.log(prior / (1 - prior)) + np.einsum("mv,nmv->n", np.log(yes) - np.log(no), heard)
         p = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
     return p
 
@@ -242,64 +311,120 @@ def train(features: list[tuple[int, ...]], targets: np.ndarray, epochs: int = 12
     return weights
 
 
-def fit(notes: DataFrame, limit: int = FIT_NOTES) -> np.ndarray:
-    """Weights of the span classifier, fitted on a sample of notes bounded by ``limit``."""
+SPAN = "struct<kind int, begin int, end int, votes array<int>, features array<int>, text string>"
+
+
+def proposed(notes: DataFrame) -> DataFrame:
+    """(note_id, spans): the spans proposed in each note, with votes and features; notes without spans have no row."""
 
     def kernel(columns: list[list]):
-        for (body,) in zip(*columns):
-            for s in spans(body):
-                yield s.kind, list(s.votes), list(s.features)
-
-    sample = notes.filter(F.col("body") != "").select(F.col("id").alias("id"), "body").withColumn("by", F.xxhash64("id")).orderBy("by", "id").limit(limit)
-    # The sample is small and arrives as one partition; its bodies are dealt out to all cores.
-    dealt = sample.select("body").repartition(max(1, notes.sparkSession.sparkContext.defaultParallelism))
-    rows = map_rows(dealt, ["body"], kernel, "kind int, votes array<int>, features array<int>").limit(FIT_SPANS).collect()
-    rows = sorted((r[0], tuple(r[1]), tuple(r[2])) for r in rows)
-    targets = np.zeros(len(rows))
-    for k in range(len(KINDS)):
-        at = [n for n, r in enumerate(rows) if r[0] == k]
-        if at:
-            targets[at] = reliabilities(np.array([rows[n][1] for n in at]))
-    return train([r[2] for r in rows], targets)
+        for i, body in zip(*columns):
+            if found := spans(body):
+                yield i, [(s.kind, s.begin, s.end, list(s.votes), list(s.features), body[s.begin : s.end]) for s in found]
+
+    source = notes.filter(F.col("body") != "").select(F.col("id").cast("bigint").alias("note_id"), "body")
+    return map_rows(spread(source), ["note_id", "body"], kernel, f"note_id bigint, spans array<{SPAN}>", out_rows=512)
+
+
+def hidden(kind: int, features: tuple[int, ...]) -> tuple[int, ...]:
+    """A name's features without its own words and its gazetteer vote: what is left is its context."""
+    vote = (kind * len(VOTERS) + VOTERS.index("gazetteer")) * 2
+    # ``spans`` puts the two features of a name's words after seven others.
+    return tuple(f for k, f in enumerate(features) if k not in (7, 8) and f not in (vote, vote + 1))
 
 
-def decide(text: str, weights: np.ndarray) -> list[tuple[str, int, int]]:
-    """(kind, begin, end) of the personal information in a text, in order and without overlaps."""
+class Model(NamedTuple):
+    weights: np.ndarray
+    things: frozenset[str]
+
+
+NAME, GAZETTEER = KINDS.index("name"), VOTERS.index("gazetteer")
+#: The feature of a name that the gazetteer denies.
+DENIED = (NAME * len(VOTERS) + GAZETTEER) * 2
+
+
+def names_of_things(each: DataFrame) -> DataFrame:
+    """(text) of the names of things among the name spans that no gazetteer knows; see ``THING_SHARE``."""
+    unknown = each.filter((F.col("s.kind") == NAME) & (F.col("s.votes")[GAZETTEER] == 0)).select("note_id", "s.text").distinct()
+    pairs = unknown.groupBy("text").agg(F.count("*").alias("n")).withColumn("first", F.substring_index("text", " ", 1))
+    firsts = pairs.groupBy("first").agg(F.sum("n").alias("of_first"))
+    least = pairs.agg(F.greatest(F.lit(5.0), F.sum("n") * THING_SHARE).alias("least"))
+    # One row, so its join is no product.
+    frequent = pairs.join(F.broadcast(least), F.col("n") >= F.col("least"))
+    return frequent.join(firsts, "first").filter(F.col("n") >= THING_FIRST * F.col("of_first")).select("text")
+
+
+def fit(spans_of_notes: DataFrame, fit_notes: int = FIT_NOTES, fit_spans: int = FIT_SPANS) -> Model:
+    """The span classifier: names of things and reliabilities from all spans, weights from a sample of bounded size."""
+    each = spans_of_notes.select("note_id", F.explode("spans").alias("s"))
+    things = frozenset(r["text"] for r in names_of_things(each).collect())
+    thing = (F.col("s.kind") == NAME) & (F.col("s.votes")[GAZETTEER] == 0) & (F.col("s.text").isin(*things) if things else F.lit(False))
+    votes = F.when(thing, F.transform("s.votes", lambda v, n: F.when(n == GAZETTEER, -1).otherwise(v))).otherwise(F.col("s.votes"))
+    features = F.when(thing, F.concat("s.features", F.array(F.lit(DENIED)))).otherwise(F.col("s.features"))
+    each = each.select("note_id", "s.kind", "s.begin", votes.alias("votes"), features.alias("features"))
+    # At most 3 to the power of the number of labelers a kind.
+    patterns = each.select("note_id", "kind", "begin", "votes").distinct().groupBy("kind", "votes").count().collect()
+    sure: dict[tuple, float] = {}
+    for k in range(len(KINDS)):
+        part = sorted((tuple(r["votes"]), r["count"]) for r in patterns if r["kind"] == k)
+        if part:
+            p = reliabilities(np.array([v for v, _ in part]), counts=np.array([n for _, n in part]))
+            sure.update(((k, v), x) for (v, _), x in zip(part, p))
+    chosen = spans_of_notes.select("note_id", F.xxhash64("note_id").alias("by")).distinct().orderBy("by", "note_id").limit(fit_notes)
+    sample = each.join(F.broadcast(chosen), "note_id").select("by", "note_id", "kind", "begin", "votes", "features").distinct()
+    rows = sample.orderBy("by", "note_id", "kind", "begin", "features").limit(fit_spans).collect()
+    rows = [(r["kind"], tuple(r["votes"]), tuple(r["features"])) for r in rows]
+    seen = [(f, sure[k, v]) for k, v, f in rows] + [(hidden(k, f), sure[k, v]) for k, v, f in rows if k == NAME]
+    return Model(train([f for f, _ in seen], np.array([p for _, p in seen])), things)
+
+
+def settled(found: list[tuple[int, int, int, list[int], str]], model: Model) -> list[int]:
+    """Which of the spans (kind, begin, end, features, text) of a note are personal information, without overlaps, in order."""
     scored = []
-    for s in spans(text):
-        score = float(weights[list(s.features)].sum())
+    listed = DENIED + 1
+    for n, (kind, begin, end, features, text) in enumerate(found):
+        score = float(model.weights[features].sum())
+        if kind == NAME and text in model.things and listed not in features:
+            score += float(model.weights[DENIED])
         if score > 0:
-            scored.append((score, s))
-    taken: list[tuple[str, int, int]] = []
-    for _, s in sorted(scored, key=lambda x: (-x[0], x[1].begin, -x[1].end)):
-        if all(s.end <= b or s.begin >= e for _, b, e in taken):
-            taken.append((KINDS[s.kind], s.begin, s.end))
-    return sorted(taken, key=lambda x: x[1])
+            scored.append((-score, begin, -end, n))
+    taken: list[int] = []
+    for _, begin, end, n in sorted(scored):
+        if all(-end <= found[t][1] or begin >= found[t][2] for t in taken):
+            taken.append(n)
+    return sorted(taken, key=lambda n: found[n][1])
+
+
+def decide(text: str, model: Model) -> list[tuple[str, int, int]]:
+    """(kind, begin, end) of the personal information in a text."""
+    found = [(s.kind, s.begin, s.end, list(s.features), text[s.begin : s.end]) for s in spans(text)]
+    return [(KINDS[found[n][0]], found[n][1], found[n][2]) for n in settled(found, model)]
 
 
 def found_items(notes: DataFrame, fit_notes: int = FIT_NOTES) -> DataFrame:
     """(note_id, kind, found_text) of each item of personal information, once a note."""
-    shared = notes.sparkSession.sparkContext.broadcast(fit(notes, fit_notes))
+    # Bodies are read once; the fit and the decision work on the narrow spans.
+    narrow = cut(proposed(notes))
+    shared = notes.sparkSession.sparkContext.broadcast(fit(narrow, fit_notes))
 
     def kernel(columns: list[list]):
-        weights = shared.value
-        for i, body in zip(*columns):
-            for kind, begin, end in decide(body, weights):
-                yield i, kind, body[begin:end]
+        model = shared.value
+        for i, found in zip(*columns):
+            for n in settled([(s["kind"], s["begin"], s["end"], s["features"], s["text"]) for s in found], model):
+                yield i, KINDS[found[n]["kind"]], found[n]["text"]
 
-    source = notes.filter(F.col("body") != "").select(F.col("id").cast("bigint").alias("note_id"), "body")
-    return map_rows(spread(source), ["note_id", "body"], kernel, "note_id bigint, kind string, found_text string").distinct()
+    return map_rows(narrow, ["note_id", "spans"], kernel, "note_id bigint, kind string, found_text string").distinct()
 
 
 def masked_notes(notes: DataFrame, fit_notes: int = FIT_NOTES) -> DataFrame:
     """(note_id, body, found): every note with placeholders for personal information; null bodies stay null."""
-    shared = notes.sparkSession.sparkContext.broadcast(fit(notes, fit_notes))
+    shared = notes.sparkSession.sparkContext.broadcast(fit(cut(proposed(notes)), fit_notes))
 
     def kernel(columns: list[list]):
-        weights = shared.value
+        model = shared.value
         for i, body in zip(*columns):
             out, at, n = [], 0, 0
-            for kind, begin, end in decide(body, weights) if body else ():
+            for kind, begin, end in decide(body, model) if body else ():
                 out += (body[at:begin], PLACEHOLDER[kind])
                 at, n = end, n + 1
             yield i, "".join(out) + body[at:] if body else body, n

@@ -184,6 +184,29 @@ def test_personal_information(spark):
     assert rows(pii.found_items(df.limit(0))) == []
 
 
+def test_names_outside_of_the_gazetteer_and_sentences_of_the_tables(spark, folder):
+    notes = spark.read.parquet(f"{folder.replace('0.001', '0.01')}/notes.parquet")
+    model = pii.fit(pii.cut(pii.proposed(notes)))
+    names = lambda text: [text[b:e] for k, b, e in pii.decide(text, model) if k == "name"]
+    told = {"Please ask Kwame Mensah about the index.": "Kwame Mensah", "Hiroshi Tanaka said so.": "Hiroshi Tanaka", "We met Wojciech Kowalski yesterday.": "Wojciech Kowalski", "Call Mr. Bogdan Ionescu today.": "Bogdan Ionescu", "I spoke with Ngozi Okafor, who agrees.": "Ngozi Okafor", "Mrs. Saoirse Gallagher was there.": "Saoirse Gallagher"}
+    assert sum(names(text) == [name] for text, name in told.items()) >= 5
+    assert not any(word in pii.GIVEN for name in told.values() for word in name.split())
+    for text in ("IBAN DE89 3704 0044 0532 0130 00 is ours.", "Version 1.20.300 of 2024-01-02 is out."):
+        assert pii.decide(text, model) == []
+
+
+def test_names_of_things_are_learned(spark):
+    data = [(n, f"Team Paper Kite ships. We met Aurelio B{'abcdefghij'[n % 10]}nder today.") for n in range(40)]
+    narrow = pii.cut(pii.proposed(spark.createDataFrame(data, "id bigint, body string")))
+    assert rows(pii.names_of_things(narrow.selectExpr("note_id", "explode(spans) s"))) == [("Paper Kite",)]
+
+
+def test_the_fit_is_the_same_every_time(spark):
+    data = [(n, f"Ask Dr. Anna B{'abcdefghij'[n % 10]}nder; call +44 1632 960{n:03d}. Ticket 2024-01-02 in Team Paper Kite.") for n in range(60)]
+    fits = [pii.fit(pii.proposed(spark.createDataFrame(data[::step], "id bigint, body string").repartition(n)), 20, 50) for n, step in ((1, 1), (7, -1), (3, 1))]
+    assert all((f.weights == fits[0].weights).all() and f.things == fits[0].things for f in fits)
+
+
 def test_reliabilities_follow_the_better_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(800) < 0.4
