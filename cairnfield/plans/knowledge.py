@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.functions.paths import language_of
+from cairnfield.functions.lineage import shared_folder
+from cairnfield.functions.paths import LANGUAGE_OF, language_of
 from cairnfield.operators import access, code, embedding, graph, ingest, search
 from cairnfield.operators.markdown import parse_note, problem_of, serialize_note, type_index, wikilinks
 from cairnfield.plans.tables import Tables, sql
@@ -16,11 +17,16 @@ THRESHOLD = 0.3
 
 
 def items(t: Tables) -> DataFrame:
-    """Documents as notes of their sources, with the vectors that exist for them."""
-    vectors = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    rows = t("documents").select(F.lit("note").alias("kind"), F.col("doc_id").alias("id"), F.coalesce("source", F.lit("none")).alias("scope_id"), F.concat(F.lit("doc-"), "doc_id").alias("title"), "text")
-    files = t("file_rows").select(F.lit("code").alias("kind"), F.col("id"), F.concat(F.lit("repository-"), "repository_id").alias("scope_id"), F.col("path").alias("title"), F.col("content").alias("text"))
-    return rows.unionByName(files).join(vectors, "id", "left").select("kind", "id", "scope_id", "title", "text", "embedding")
+    """Live notes and files, with the vectors that exist for them (even numbers are notes')."""
+    vectors = t("embeddings").select(_kind_of_vector().alias("kind"), F.col("vec_id").alias("id"), "embedding")
+    none = F.lit(None).cast("string")
+    notes = t("note_rows").filter("deleted_at is null").select(F.lit("note").alias("kind"), "id", F.concat(F.lit("vault-"), "vault_id").alias("scope_id"), F.col("path").alias("title"), F.col("body").alias("text"), "frontmatter", none.alias("language"))
+    files = t("file_rows").select(F.lit("code").alias("kind"), "id", F.concat(F.lit("repository-"), "repository_id").alias("scope_id"), F.col("path").alias("title"), F.col("content").alias("text"), none.alias("frontmatter"), "language")
+    return notes.unionByName(files).join(vectors, ["kind", "id"], "left")
+
+
+def _kind_of_vector() -> F.Column:
+    return F.when(F.col("vec_id") % 2 == 0, "note").otherwise("code")
 
 
 def _probe(t: Tables) -> list[float]:
@@ -30,13 +36,38 @@ def _probe(t: Tables) -> list[float]:
 
 
 def _scope(t: Tables) -> DataFrame:
-    notes = t("documents").filter("source is not null").select(F.lit("note").alias("kind"), F.col("source").alias("scope_id")).distinct()
+    """What user 20 may see."""
+    vaults = access.accessible_vaults(t("users"), t("vaults"), t("shares"), t("memberships")).filter("user_id = 20").select(F.lit("note").alias("kind"), F.concat(F.lit("vault-"), "vault_id").alias("scope_id"))
     repos = access.accessible_repositories(t("users"), t("repositories"), t("repository_shares"), t("memberships")).filter("user_id = 20").select(F.lit("code").alias("kind"), F.concat(F.lit("repository-"), "repository_id").alias("scope_id"))
-    return notes.unionByName(repos)
+    return vaults.unionByName(repos)
+
+
+#: Indexes that this session has written, by session and folder of tables.
+_WRITTEN: dict[tuple[str, str], search.Index] = {}
+
+
+def _index(t: Tables) -> search.Index:
+    """The stored index over a folder's items; written by the first query of a session that needs it."""
+    import uuid
+
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _WRITTEN:
+        folder = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
+        search.write_index(items(t), folder, buckets=16, salts=2)
+        _WRITTEN[key] = search.open_index(t.spark, folder)
+    return _WRITTEN[key]
+
+
+def _written(t: Tables) -> DataFrame:
+    """Rebuild the index; how much it holds."""
+    _WRITTEN.pop((t.spark.sparkContext.applicationId, t.folder), None)
+    index = _index(t)
+    count = lambda df, name: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), "rows")
+    return count(index.postings, "postings").unionByName(count(index.vectors, "vectors")).unionByName(count(index.items, "items"))
 
 
 def _hybrid(t: Tables, scope: DataFrame | None = None) -> DataFrame:
-    return search.hybrid_search(items(t), QUERY, _probe(t), scope=scope).select("kind", "id", "score")
+    return search.indexed_search(_index(t), QUERY, _probe(t), scope=scope).select("kind", "id", "score", "title", "frontmatter", "language")
 
 
 def _nodes(t: Tables) -> DataFrame:
@@ -131,10 +162,13 @@ def queries() -> dict:
     return {
         "hybrid_search": q(_hybrid),
         "search_everywhere": q(lambda t: _hybrid(t, _scope(t))),
+        "search_index": q(_written),
+        "search_by_scan": q(lambda t: search.hybrid_search(items(t), QUERY, _probe(t)).select("kind", "id", "score")),
+        "fts_match_indexed": q(lambda t: search.index_hits(_index(t), PHRASE_QUERY).select("kind", "id")),
         "keyword_top30": q(lambda t: search.keyword_branch(items(t), QUERY).select("kind", "id", "score")),
         "semantic_top30": q(lambda t: search.vector_branch(items(t), _probe(t)).select("kind", "id", "score")),
-        "fts_tokens": q(lambda t: items(t).select("kind", "id", F.explode(tok(F.concat_ws(" ", "title", "text"))).alias("token")).groupBy("kind", "id", "token").agg(F.count("*").alias("tf"))),
-        "fts_match": q(lambda t: items(t).select("kind", "id", tok(F.concat_ws(" ", "title", "text")).alias("t")).filter(search.matches(PHRASE_QUERY, F.col("t"))).select("kind", "id")),
+        "fts_tokens": q(lambda t: items(t).select("kind", "id", F.explode(tok(F.concat_ws(" ", "title", "frontmatter", "text"))).alias("token")).groupBy("kind", "id", "token").agg(F.count("*").alias("tf"))),
+        "fts_match": q(lambda t: items(t).select("kind", "id", tok(F.concat_ws(" ", "title", "frontmatter", "text")).alias("t")).filter(search.matches(PHRASE_QUERY, F.col("t"))).select("kind", "id")),
         "postings": q(lambda t: search.postings(items(t)).groupBy("token").agg(F.count("*").alias("items"), F.sum("tf").alias("tf"))),
         "headline": q(lambda t: search.keyword_branch(items(t), QUERY).select("kind", "id", "snippet")),
         "snippets": q(lambda t: t("documents").select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(200)).alias("snippet"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))),
@@ -180,18 +214,21 @@ def queries() -> dict:
 
 
 _STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
-_ITEM = f"""item as (select 'note' as kind, doc_id as id, coalesce(source, 'none') as scope_id, 'doc-' || doc_id as title, text from documents
-    union all select 'code', id, 'repository-' || repository_id, path, content from file_rows),
-  tok as (select kind, id, scope_id, list_filter(regexp_extract_all(lower(concat_ws(' ', title, text)), '[a-z0-9]+'), lambda w: w not in ({_STOP})) as t from item),
+_ITEM = f"""item as (select 'note' as kind, id, 'vault-' || vault_id as scope_id, path as title, body as text, frontmatter, null as language from note_rows where deleted_at is null
+    union all select 'code', id, 'repository-' || repository_id, path, content, null, language from file_rows),
+  tok as (select kind, id, scope_id, list_filter(regexp_extract_all(lower(concat_ws(' ', title, frontmatter, text)), '[a-z0-9]+'), lambda w: w not in ({_STOP})) as t from item),
   kw as (select kind, id, scope_id, cast(len(list_filter(t, lambda w: w in ('index', 'note'))) as double) as score from tok where list_contains(t, 'note') and list_contains(t, 'index')),
   probe as (select embedding as p from embeddings order by vec_id limit 1),
-  vec as (select kind, id, scope_id, round(list_cosine_similarity(e.embedding::double[], (select p from probe)::double[]), 6) as score from item join embeddings e on e.vec_id = item.id)"""
+  vec as (select kind, id, scope_id, round(list_cosine_similarity(e.embedding::double[], (select p from probe)::double[]), 6) as score from item join embeddings e on e.vec_id = item.id and item.kind = case when e.vec_id % 2 = 0 then 'note' else 'code' end)"""
 _FUSE = """branch as (
     select kind, id, 0 as b, row_number() over (order by score desc, id) - 1 as r from vec_in where kind = 'note' qualify r < 30
     union all select kind, id, 1, row_number() over (order by score desc, id) - 1 as r from vec_in where kind = 'code' qualify r < 30
     union all select kind, id, 2, row_number() over (order by score desc, id) - 1 as r from kw_in where kind = 'note' qualify r < 30
-    union all select kind, id, 3, row_number() over (order by score desc, id) - 1 as r from kw_in where kind = 'code' qualify r < 30)
-  select kind, id, score from (select kind, id, round(sum(1.0 / (61 + r)), 9) as score, min(b * 100 + r) as first from branch group by all) order by score desc, first limit 20"""
+    union all select kind, id, 3, row_number() over (order by score desc, id) - 1 as r from kw_in where kind = 'code' qualify r < 30),
+  fused as (select kind, id, round(sum(1.0 / (61 + r)), 9) as score, min(b * 100 + r) as first from branch group by all order by score desc, first limit 20)"""
+_CARRY = "select f.kind, f.id, f.score, title, frontmatter, language from fused f join item using (kind, id)"
+# Words side by side bind tighter than "or".
+_MATCH = "select kind, id from tok where contains(' ' || array_to_string(t, ' ') || ' ', ' revision list ') or list_contains(t, 'vault') and not list_contains(t, 'digest')"
 _NODE = """node as (
     select 'note:' || id as key, 'note' as kind, vault_id as resource_id, path, type, case when json_type(frontmatter, '$.tags') = 'ARRAY' then from_json(json_extract(frontmatter, '$.tags'), '["VARCHAR"]') else [] end as tags,
         json_extract_string(frontmatter, '$.timestamp') as timestamp from note_rows where deleted_at is null
@@ -214,29 +251,29 @@ _EDGE = "select least(key, neighbour) as a, greatest(key, neighbour) as b, max(s
 
 
 def oracle_sql() -> dict[str, str]:
-    from cairnfield.plans.people import REPOSITORY
+    from cairnfield.plans.people import GRANT, REPOSITORY
 
     rows = ("note_rows", "file_rows")
-    item = lambda text: sql("", "file_rows").rstrip() + f", {_ITEM} {text}"
+    item = lambda text: sql("", *rows).rstrip() + f", {_ITEM} {text}"
     node = lambda text: sql("", *rows).rstrip() + f", {_NODE} {text}"
-    scope = sql("", "file_rows", "users", "memberships", "repository_shares").rstrip() + f""", {_ITEM}, {REPOSITORY},
-        scope as (select distinct 'note' as kind, source as scope_id from documents where source is not null union select 'code', 'repository-' || repository_id from repo_access where user_id = 20) """
-    from cairnfield.plans.people import GRANT
-
+    scope = sql("", *rows, "users", "memberships", "shares", "repository_shares").rstrip() + f""", {_ITEM}, {GRANT}, {REPOSITORY},
+        scope as (select 'note' as kind, 'vault-' || vault_id as scope_id from access where user_id = 20 union select 'code', 'repository-' || repository_id from repo_access where user_id = 20) """
     problem = """case when not coalesce(regexp_matches(type, '^[a-z0-9][a-z0-9-]*$'), false) then 'type is not a slug' when not coalesce(regexp_matches(name, '^[a-z0-9][a-z0-9-]*$'), false) then 'name is not a slug'
         when json_extract_string(frontmatter, '$.type') is distinct from type then 'frontmatter type differs' when json_exists(frontmatter, '$.tags') and json_type(frontmatter, '$.tags') <> 'ARRAY' then 'tags are not a list'
         when json_exists(frontmatter, '$.timestamp') and try_cast(json_extract_string(frontmatter, '$.timestamp') as timestamptz) is null then 'timestamp is not a date' when body is null then 'body is missing' end"""
-    ext = "ts typescript tsx typescript js javascript jsx javascript mjs javascript cjs javascript py python go go rs rust java java rb ruby c c h c cpp cpp hpp cpp cc cpp".split()
-    language = "case lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"when '{a}' then '{b}'" for a, b in zip(ext[::2], ext[1::2])) + " end"
+    language = "case lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"when '{a}' then '{b}'" for a, b in LANGUAGE_OF.items()) + " end"
     from cairnfield.plans.integrity import _NORMAL
 
     return {
-        "hybrid_search": item(f", vec_in as (select * from vec), kw_in as (select * from kw), {_FUSE}").replace(") , vec_in", "), vec_in").replace(" , vec_in", ", vec_in"),
-        "search_everywhere": scope.rstrip() + f", vec_in as (select * from vec where (kind, scope_id) in (select (kind, scope_id) from scope)), kw_in as (select * from kw where (kind, scope_id) in (select (kind, scope_id) from scope)), {_FUSE}",
+        "hybrid_search": item(f", vec_in as (select * from vec), kw_in as (select * from kw), {_FUSE} {_CARRY}").replace(" , vec_in", ", vec_in"),
+        "search_by_scan": item(f", vec_in as (select * from vec), kw_in as (select * from kw), {_FUSE} select kind, id, score from fused").replace(" , vec_in", ", vec_in"),
+        "search_index": item("select 'postings' as part, count(*) as rows from (select distinct kind, id, unnest(t) from tok) union all select 'vectors', count(*) from vec union all select 'items', count(*) from item"),
+        "search_everywhere": scope.rstrip() + f", vec_in as (select * from vec where (kind, scope_id) in (select (kind, scope_id) from scope)), kw_in as (select * from kw where (kind, scope_id) in (select (kind, scope_id) from scope)), {_FUSE} {_CARRY}",
         "keyword_top30": item("select kind, id, score from kw order by score desc, kind, id limit 30"),
         "semantic_top30": item("select kind, id, score from vec order by score desc, kind, id limit 30"),
         "fts_tokens": item("select kind, id, token, count(*) as tf from (select kind, id, unnest(t) as token from tok) group by all"),
-        "fts_match": item("select kind, id from tok where (contains(' ' || array_to_string(t, ' ') || ' ', ' revision list ') or list_contains(t, 'vault')) and not list_contains(t, 'digest')"),
+        "fts_match": item(_MATCH),
+        "fts_match_indexed": item(_MATCH),
         "postings": item("select token, count(*) as items, cast(sum(tf) as bigint) as tf from (select kind, id, token, count(*) as tf from (select kind, id, unnest(t) as token from tok) group by all) group by token"),
         "snippets": "select doc_id, left(coalesce(text, ''), 200) as snippet, cast(strlen(coalesce(text, '')) as int) as size from documents",
         "scope_filter": scope + "select kind, scope_id, count(*) as items from item where (kind, scope_id) in (select (kind, scope_id) from scope) group by all",

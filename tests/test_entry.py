@@ -21,7 +21,7 @@ def test_core_works_without_the_optional_part(monkeypatch):
 
 def test_flagship(spark, folder):
     df = entry.entry(spark)
-    assert df.columns == ["kind", "id", "score"] and df.count() == 20
+    assert df.columns == ["kind", "id", "score", "title", "frontmatter", "language"] and df.count() == 20
 
 
 def test_engine(spark, folder):

@@ -23,7 +23,8 @@ def items(spark):
 
 
 def test_query_syntax():
-    assert search.parse_query('"open points" or vault -digest') == [[search.Clause(("open", "points"), False), search.Clause(("vault",), False)], [search.Clause(("digest",), True)]]
+    assert search.parse_query('"open points" or vault -digest') == [[search.Clause(("open", "points"), False)], [search.Clause(("vault",), False), search.Clause(("digest",), True)]]
+    assert search.parse_query("a or or vault or") == [[search.Clause(("vault",), False)]]
     assert search.parse_query("") == [] and search.parse_query("the or") == []
 
 
@@ -44,11 +45,29 @@ def test_scope_is_inside_and_blank_finds_nothing(spark):
     assert [r["id"] for r in search.hybrid_search(items(spark), "milk", []).collect()] == [3]
 
 
-@pytest.mark.parametrize(("query", "ids"), [("guidance -rocket", [1]), ('"guidance software"', [1]), ('"software guidance"', []), ("rocket or milk", [2, 3])])
+@pytest.mark.parametrize(("query", "ids"), [("guidance -rocket", [1]), ('"guidance software"', [1]), ('"software guidance"', []), ("rocket or milk", [2, 3]), ("built milk or guidance", [1]), ("guidance or built milk", [1]), ("built rocket or eggs milk", [2, 3]), ("guidance -mission or -rocket", [1, 3]), ("-rocket", [1, 3])])
 def test_matches(spark, query, ids):
     notes = items(spark).filter("kind = 'note'").dropDuplicates(["id"])
     got = notes.filter(search.matches(query, search.tokens(F.col("text")))).select("id")
     assert sorted(r[0] for r in got.collect()) == ids
+    found = search.keyword_hits(notes.withColumn("title", F.lit("")), query)
+    assert sorted(r["id"] for r in found.collect()) == ids
+
+
+def test_index_equals_the_scan(spark, tmp_path):
+    data = items(spark).withColumn("frontmatter", F.when(F.col("kind") == "note", '{"tags":["alpha"]}')).withColumn("language", F.when(F.col("kind") == "code", "typescript"))
+    search.write_index(data, str(tmp_path), buckets=3, salts=2)
+    index = search.open_index(spark, str(tmp_path))
+    scope = spark.createDataFrame([("note", "a"), ("note", "a"), ("code", "r")], "kind string, scope_id string")
+    for query in ('"guidance software"', '"software guidance"', "alpha guidance -rocket or milk", "-rocket", "the"):
+        assert rows(search.index_hits(index, query)) == rows(search.keyword_hits(data, query).distinct())
+    for query, s in (("guidance software", None), ("guidance", scope), ("-rocket", scope), ("", None)):
+        got, want = (search.indexed_search(index, query, [1.0, 0.0], scope=s), search.hybrid_search(data, query, [1.0, 0.0], scope=s))
+        assert got.columns == want.columns and [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    first = search.indexed_search(index, "guidance", [1.0, 0.0]).collect()
+    assert {(r["kind"], r["frontmatter"] is None, r["language"]) for r in first} <= {("note", False, None), ("code", True, "typescript")}
+    search.write_index(data.limit(0), f"{tmp_path}/none", buckets=3)
+    assert rows(search.indexed_search(search.open_index(spark, f"{tmp_path}/none"), "guidance", [1.0, 0.0])) == []
 
 
 def test_neighbours_equal_brute_force(spark):
