@@ -140,15 +140,16 @@ def backlinks(links: DataFrame) -> DataFrame:
     return links.select("source_note_id", "target_path").distinct().groupBy("target_path").agg(F.count("*").alias("backlinks"))
 
 
-def components(edges: DataFrame, all_nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, all_nodes: DataFrame) -> DataFrame:
     """(key, component): connected components, named by their smallest key; isolated nodes are their own.
 
     Alternating star contraction: each round moves links to smaller neighbours, so the rounds grow with the logarithm
-    of the size, not with the diameter; a hot key only loses links to partial aggregation. Lineage is cut each round.
+    of the size, not with the diameter; a hot key only loses links to partial aggregation. Lineage is cut each round;
+    rounds end when none of the links moved.
     """
     links = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
     before: tuple | None = None
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour is linked to the smallest around the node.
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -245,14 +246,24 @@ def communities(edges: DataFrame, scoped_nodes: DataFrame) -> DataFrame:
     return rows.groupBy("scope").applyInPandas(detect, f"scope {kind}, key string, community int")
 
 
-def label_propagation(edges: DataFrame, all_nodes: DataFrame, rounds: int = 8) -> DataFrame:
-    """(key, label): communities of graphs of any size; each round a node takes the commonest label around it."""
-    links = edges.select("a", "b").distinct()
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = all_nodes.select("key", F.col("key").alias("label")).distinct()
-    for _ in range(rounds):
+def label_propagation(edges: DataFrame, all_nodes: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(key, label): communities of graphs of any size, by the commonest label around each node, its own vote included.
+
+    A node moves to a label with more votes than its own, or with as many and a smaller name. Each round a half of the
+    nodes, chosen by a hash, may move, so that neighbours don't swap labels forever; rounds end when no node would
+    move. A graph that is not settled after ``max_rounds`` raises an error.
+    """
+    links = edges.select("a", "b").filter("a <> b").distinct()
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    keys = all_nodes.select("key").distinct()
+    both = cut(both.unionByName(keys.select(F.col("key").alias("a"), F.col("key").alias("b"))))
+    labels = keys.select("key", F.col("key").alias("label"))
+    for n in range(max_rounds):
         # Counts are aggregated before they are compared, so a hub's neighbours never sit in one task.
         votes = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("x")).select(F.col("a").alias("key"), F.col("x.label").alias("next"))
-        labels = cut(labels.join(best, "key", "left").select("key", F.least("label", F.coalesce("next", "label")).alias("label")))
-    return labels
+        moves = cut(labels.join(best, "key", "left").select("key", "label", F.coalesce("next", "label").alias("next")))
+        if moves.filter("next <> label").isEmpty():
+            return moves.select("key", "label")
+        labels = moves.select("key", F.when(F.pmod(F.xxhash64("key", F.lit(n)), F.lit(2)) == 0, F.col("next")).otherwise(F.col("label")).alias("label"))
+    raise RuntimeError(f"labels still move after {max_rounds} rounds")

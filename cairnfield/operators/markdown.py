@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Forms of slugs, fences and links.
 SLUG = "^[a-z0-9][a-z0-9-]*$"
 FENCE = r"^---\n([\s\S]*?)\n?---\n?([\s\S]*)$"
 LINK = r"\[\[([^\]|#]+)(?:[|#][^\]]*)?\]\]"
@@ -35,18 +36,22 @@ def valid_path(path: Column) -> Column:
 
 def problem_of(type_: Column, name: Column, frontmatter: Column, body: Column) -> Column:
     """The first rule a note breaks, in a fixed order; null if it is valid. ``frontmatter`` is JSON text."""
-    fm_type = F.get_json_object(frontmatter, "$.type")
-    tags = F.get_json_object(frontmatter, "$.tags")
-    time = F.get_json_object(frontmatter, "$.timestamp")
-    resource = F.get_json_object(frontmatter, "$.resource")
-    tag_list = F.from_json(tags, "array<string>")
+    fields = F.try_parse_json(frontmatter)
+    kind = lambda v: F.schema_of_variant(v)
+    field = lambda name: F.try_variant_get(fields, f"$.{name}", "variant")
+    elements = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    nested = lambda v: kind(v).startswith("OBJECT") | kind(v).startswith("ARRAY")
+    bad_value = lambda v: kind(v).startswith("OBJECT") | F.coalesce(F.exists(elements(v), nested), F.lit(False))
+    fm_type, tags, time, resource = (field(n) for n in ("type", "tags", "timestamp", "resource"))
+    type_text, time_text = (F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")) for v in (fm_type, time))
     return (
         F.when(~is_slug(type_), "type is not a slug")
         .when(~is_slug(name), "name is not a slug")
-        .when(fm_type.isNull() | (fm_type != type_), "frontmatter type differs")
-        .when(tags.isNotNull() & (tag_list.isNull() | ~tags.startswith("[")), "tags are not a list")
-        .when(time.isNotNull() & F.try_to_timestamp(time).isNull(), "timestamp is not a date")
-        .when(resource.isNotNull() & resource.rlike(r"^[\[{]"), "resource is not a string")
+        .when(type_text.isNull() | (type_text != type_), "frontmatter type differs")
+        .when(tags.isNotNull() & ~F.coalesce(F.forall(elements(tags), lambda x: kind(x) == "STRING"), F.lit(False)), "tags are not a list of strings")
+        .when(time.isNotNull() & F.try_to_timestamp(time_text).isNull(), "timestamp is not a date")
+        .when(resource.isNotNull() & (kind(resource) != "STRING"), "resource is not a string")
+        .when(F.exists(F.map_values(F.try_variant_get(fields, "$", "map<string,variant>")), bad_value), "a value is neither a scalar nor a list of scalars")
         .when(body.isNull(), "body is missing")
     )
 

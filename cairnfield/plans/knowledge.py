@@ -246,7 +246,10 @@ _NODE = """node as (
     union all select 'dir:' || resource_id || ':' || case when contains(path, '/') then split_part(path, '/', 1) else '.' end, key from node where kind = 'code'),
   structural as (select distinct x.key as a, y.key as b from grp x join grp y on x.group_key = y.group_key and x.key < y.key where x.group_key in (select group_key from grp group by all having count(*) <= 50))"""
 _VEC = """v as (select case when vec_id % 2 = 0 then 'note:' else 'code:' end || vec_id as key, vec_id, embedding::double[] as e from embeddings),
-  near as (select q.key, v.key as neighbour, round(list_cosine_similarity(q.e, v.e), 6) as similarity, row_number() over (partition by q.key order by round(list_cosine_similarity(q.e, v.e), 6) desc, v.key) as rank from v q join v on q.key <> v.key where q.vec_id % 100 = 0 qualify rank <= 8)"""
+  near as (select q.key, v.key as neighbour, round(list_cosine_similarity(q.e, v.e), 6) as similarity, row_number() over (partition by q.key order by round(list_cosine_similarity(q.e, v.e), 6) desc, v.key) as rank from v q join v on q.key <> v.key qualify rank <= 8)"""
+# The semantic edges between nodes that are there, and the edges of all three kinds.
+_SEMANTIC = f"""{_VEC}, semantic as (select least(key, neighbour) as a, greatest(key, neighbour) as b from near where similarity >= {THRESHOLD} and key in (select key from node) and neighbour in (select key from node)),
+  every as (select a, b, kind from extracted union select a, b, 'structural' from structural union select a, b, 'semantic' from semantic)"""
 _EDGE = "select least(key, neighbour) as a, greatest(key, neighbour) as b, max(similarity) as similarity from near where similarity >= 0.3 group by all"
 
 
@@ -259,8 +262,10 @@ def oracle_sql() -> dict[str, str]:
     scope = sql("", *rows, "users", "memberships", "shares", "repository_shares").rstrip() + f""", {_ITEM}, {GRANT}, {REPOSITORY},
         scope as (select 'note' as kind, 'vault-' || vault_id as scope_id from access where user_id = 20 union select 'code', 'repository-' || repository_id from repo_access where user_id = 20) """
     problem = """case when not coalesce(regexp_matches(type, '^[a-z0-9][a-z0-9-]*$'), false) then 'type is not a slug' when not coalesce(regexp_matches(name, '^[a-z0-9][a-z0-9-]*$'), false) then 'name is not a slug'
-        when json_extract_string(frontmatter, '$.type') is distinct from type then 'frontmatter type differs' when json_exists(frontmatter, '$.tags') and json_type(frontmatter, '$.tags') <> 'ARRAY' then 'tags are not a list'
-        when json_exists(frontmatter, '$.timestamp') and try_cast(json_extract_string(frontmatter, '$.timestamp') as timestamptz) is null then 'timestamp is not a date' when body is null then 'body is missing' end"""
+        when json_extract_string(frontmatter, '$.type') is distinct from type then 'frontmatter type differs' when json_exists(frontmatter, '$.tags') and (json_type(frontmatter, '$.tags') <> 'ARRAY' or len(list_filter(json_extract(frontmatter, '$.tags[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0) then 'tags are not a list of strings'
+        when json_exists(frontmatter, '$.timestamp') and (json_type(frontmatter, '$.timestamp') <> 'VARCHAR' or try_cast(json_extract_string(frontmatter, '$.timestamp') as timestamptz) is null) then 'timestamp is not a date'
+        when json_exists(frontmatter, '$.resource') and json_type(frontmatter, '$.resource') <> 'VARCHAR' then 'resource is not a string'
+        when len(list_filter(json_extract(frontmatter, '$.*'), lambda x: json_type(x) = 'OBJECT' or json_type(x) = 'ARRAY' and len(list_filter(json_extract(x, '$[*]'), lambda y: json_type(y) in ('OBJECT', 'ARRAY'))) > 0)) > 0 then 'a value is neither a scalar nor a list of scalars' when body is null then 'body is missing' end"""
     language = "case lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"when '{a}' then '{b}'" for a, b in LANGUAGE_OF.items()) + " end"
     from cairnfield.plans.integrity import _NORMAL
 
@@ -285,7 +290,7 @@ def oracle_sql() -> dict[str, str]:
         "embed_errors": "select doc_id, case when text is null then 'no text' else 'no tokens' end as error from documents where text is null or not regexp_matches(lower(text), '[a-z0-9]')",
         "l2_norm": "select vec_id, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as norm from embeddings",
         "cosine_pairs": "select a.vec_id, b.vec_id as probe, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.label = b.label where b.vec_id % 100 = 0",
-        "knn_topk": f"with {_VEC} select key, neighbour, similarity, rank from near",
+        "knn_topk": f"with {_VEC} select key, neighbour, similarity, rank from near where key in (select key from v where vec_id % 100 = 0)",
         "semantic_edges": f"with {_VEC} {_EDGE}",
         "semantic_edges_replay": f"with {_VEC.replace('on q.key <> v.key', 'on v.vec_id < q.vec_id')} {_EDGE}",
         "semantic_edges_scoped": f"with {_VEC} select a, b, 'semantic' as kind from ({_EDGE}) where a like 'note:%' and b like 'note:%'",
@@ -299,13 +304,13 @@ def oracle_sql() -> dict[str, str]:
         "structural_groups": node("select group_key, count(*) as size from grp group by group_key"),
         "capped_groups": node("select group_key, count(*) as size from grp group by group_key having count(*) > 50"),
         "structural_edges": node("select a, b from structural"),
-        "edges_all": node("select 'extracted' as kind, count(*) as edges from extracted union all select 'structural', count(*) from structural"),
+        "edges_all": node(f", {_SEMANTIC} select kind, count(*) as edges from every group by kind").replace(" , v as", ", v as"),
         "edge_endpoints": node("select e.a, e.b, x.path as a_path, y.path as b_path from extracted e join node x on x.key = e.a join node y on y.key = e.b"),
         "edges_touching": node("select a, b, kind from extracted where a in (select key from node where type = 'people' and node.kind = 'note') or b in (select key from node where type = 'people' and node.kind = 'note')"),
         "merged_graph": sql("", *rows, "users", "memberships", "shares", "preferences").rstrip() + f", {_NODE}, {GRANT}, mine as (select distinct p.vault_id from preferences p join vaults v on v.id = p.vault_id and v.mergeable join access a using (user_id, vault_id) where p.include)"
         " select w.a, w.b from wiki w join node x on x.key = w.a join node y on y.key = w.b where x.resource_id in (select vault_id from mine) and y.resource_id in (select vault_id from mine)",
         "backlinks": "select target_path, count(distinct source_note_id) as backlinks from note_links group by target_path",
-        "components": (sql("", *rows).replace("with ", "with recursive ", 1).rstrip() + f""", {_NODE}, two_way as (select a as u, b as v from extracted union select b, a from extracted),
+        "components": (sql("", *rows).replace("with ", "with recursive ", 1).rstrip() + f""", {_NODE}, {_SEMANTIC}, two_way as (select a as u, b as v from every union select b, a from every),
             walk as (select key, key as reached from node union select w.key, t.v from walk w join two_way t on t.u = w.reached) select key, min(reached) as component from walk group by key"""),
         "type_index": sql(r"select vault_id, type, '# ' || type || chr(10) || string_agg('- [[' || path || ']]', chr(10) order by name, path) as content from (select distinct vault_id, type, name, path from live_notes) group by vault_id, type", "live_notes"),
         "validate_notes": sql(f"select id, {problem} as problem from note_rows", "note_rows"),

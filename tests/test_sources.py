@@ -20,9 +20,11 @@ def test_links_and_paths(spark):
 
 def test_rules_in_order(spark):
     data = [("people", "x", '{"type": "people"}', ""), ("People", "x", "{}", ""), ("people", "x", '{"type": "other"}', ""), ("people", "x", '{"type": "people", "tags": "a"}', ""), ("people", "x", '{"type": "people", "timestamp": "soon"}', ""), ("people", "x", '{"type": "people"}', None)]
+    fields = ['"tags": [1, 2]', '"tags": ["a", null]', '"tags": null', '"tags": []', '"tags": ["a"], "x": [1, "b", null, true], "y": null, "z": 1.5', '"timestamp": 5', '"timestamp": "2024-01-02T03:04:05Z"', '"resource": 5', '"resource": "r"', '"x": {"y": 1}', '"x": [[1]]', '"x": [{}]', '"type": 5']
+    data += [("people", "x", '{"type": "people", ' + f + "}", "") for f in fields] + [("people", "x", "not JSON", ""), ("people", "x", "[1]", ""), ("people", "x", None, "")]
     df = spark.createDataFrame(data, "t string, n string, f string, b string")
     got = [r[0] for r in df.select(markdown.problem_of(F.col("t"), F.col("n"), F.col("f"), F.col("b"))).collect()]
-    assert got == [None, "type is not a slug", "frontmatter type differs", "tags are not a list", "timestamp is not a date", "body is missing"]
+    assert got == [None, "type is not a slug", "frontmatter type differs", "tags are not a list of strings", "timestamp is not a date", "body is missing"] + ["tags are not a list of strings"] * 3 + [None, None, "timestamp is not a date", None, "resource is not a string", None] + ["a value is neither a scalar nor a list of scalars"] * 3 + ["frontmatter type differs"] * 4
 
 
 def test_notes_and_archives_round_trip(spark, tmp_path):
