@@ -141,6 +141,8 @@ def queries() -> dict:
         "validate_paths": q(lambda t: _notes(t).select("id", valid_path(F.col("path")).alias("valid")).unionByName(t("file_rows").select("id", valid_path(F.col("path")).alias("valid")))),
         "rate_limit": q(lambda t: events.rate_limit(_log(t), limit=FEW, window_ms=SIX_HOURS_MS)),
         "lockout": q(lambda t: events.lockouts(t("logins").withColumn("ts", F.col("ts").cast("timestamp")), failures=FAILURES, window_ms=DAY_MS)),
+        "lockout_by_account_and_address": q(lambda t: events.lockouts_by(t("logins").select("event_id", F.col("user_id").alias("account"), (F.col("event_id") % 40).alias("address"), "outcome", F.col("ts").cast("timestamp").alias("ts")), failures=FAILURES, window_ms=DAY_MS)),
+        "debounce_with_maximum": q(lambda t: events.debounce(_log(t), gap_ms=20 * GAP_MS, most_ms=50 * GAP_MS)),
         "debounce": q(lambda t: events.debounce(_log(t), gap_ms=GAP_MS)),
         "live_latest_state": q(lambda t: events.latest_state(_updates(t))),
         "last_valid_state": q(lambda t: events.last_valid_state(_updates(t), F.get_json_object("state", "$.k").cast("int") < 50)),
@@ -228,6 +230,21 @@ def oracle_sql() -> dict[str, str]:
         "validate_paths": sql("select id, coalesce(regexp_matches(path, '^[a-z0-9][a-z0-9-]*/[a-z0-9][a-z0-9-]*$'), false) as valid from note_rows union all select id, coalesce(regexp_matches(path, '^[a-z0-9][a-z0-9-]*/[a-z0-9][a-z0-9-]*$'), false) from file_rows", "note_rows", "file_rows"),
         "rate_limit": fold.format(w=SIX_HOURS_MS * 1000) + f"select user_id, event_id, count <= {FEW} as allowed from fold",
         "lockout": lock.format(logins=DERIVED["logins"].replace("{events}", "events"), w=DAY_MS * 1000, k=FAILURES) + "select user_id, event_id, locked from fold",
+        "lockout_by_account_and_address": f"""with recursive logins as ({DERIVED["logins"].replace("{events}", "events")}),
+            attempt as (select event_id, outcome, epoch_us(ts) as us, 'account' as who, user_id as key from logins union all select event_id, outcome, epoch_us(ts), 'address', event_id % 40 from logins),
+            log as (select *, row_number() over (partition by who, key order by us, event_id) as n from attempt where outcome in ('failure', 'success')),
+            fold as (
+                select who, key, event_id, n, false as locked, case when outcome = 'failure' then us end as start, case when outcome = 'failure' then 1 else 0 end as count from log where n = 1
+                union all select who, key, event_id, n, locked, case when locked then start when outcome = 'success' then null when inside then start else us end,
+                    case when locked then count when outcome = 'success' then 0 when inside then count + 1 else 1 end
+                from (select l.*, f.start, f.count, coalesce(l.us - f.start <= {DAY_MS * 1000}, false) as inside, coalesce(l.us - f.start <= {DAY_MS * 1000} and f.count >= {FAILURES}, false) as locked
+                      from fold f join log l on l.who = f.who and l.key = f.key and l.n = f.n + 1))
+            select event_id, bool_or(locked) as locked, coalesce(string_agg(who, ',' order by who) filter (where locked), '') as locked_by from fold group by event_id""",
+        "debounce_with_maximum": f"""with recursive log as (select user_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events),
+            fold as (select user_id, n, us, us as first, 1 as burst from log where n = 1
+                union all select user_id, n, us, case when fresh then us else first end, burst + fresh::int from (
+                    select l.user_id, l.n, l.us, f.first, f.burst, l.us >= least(f.us + {20 * GAP_MS * 1000}, f.first + {50 * GAP_MS * 1000}) as fresh from fold f join log l on l.user_id = f.user_id and l.n = f.n + 1))
+            select user_id, min(us) as first_us, least(max(us) + {20 * GAP_MS * 1000}, min(us) + {50 * GAP_MS * 1000}) as fire_us, count(*) as events from fold group by user_id, burst""",
         "debounce": f"""select user_id, min(us) as first_us, max(us) + {GAP_MS * 1000} as fire_us, count(*) as events from (
             select *, sum(fresh) over (partition by user_id order by us, event_id) as burst from (
                 select user_id, event_id, epoch_us(ts) as us, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) < {GAP_MS * 1000} then 0 else 1 end as fresh from events))

@@ -92,3 +92,22 @@ def test_lockout_and_success(spark):
 def test_debounce(spark):
     got = events.debounce(log(spark, [0, 0.2, 0.4, 5]), gap_ms=300).orderBy("first_us").collect()
     assert [r["events"] for r in got] == [3, 1] and got[0]["fire_us"] - got[0]["first_us"] == 700_000
+
+
+def test_debounce_fires_at_the_latest_after_its_maximum(spark):
+    got = events.debounce(log(spark, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 20]), gap_ms=2000, most_ms=10_000).orderBy("first_us").collect()
+    assert [((r["fire_us"] - r["first_us"]) / 1e6, r["events"]) for r in got] == [(10.0, 10), (3.0, 2), (2.0, 1)]
+
+
+def test_lockout_by_account_and_address(spark):
+    rows_ = [(i, 1 if i < 6 else 2, "a" if i % 2 else "b", "failure") for i in range(10)]
+    df = spark.createDataFrame(rows_, "event_id bigint, account bigint, address string, outcome string").withColumn("ts", F.timestamp_seconds("event_id"))
+    got = {r["event_id"]: r["locked_by"] for r in events.lockouts_by(df, failures=3).collect()}
+    assert got == {0: "", 1: "", 2: "", 3: "account", 4: "account", 5: "account", 6: "address", 7: "address", 8: "address", 9: "account,address"}
+    assert events.lockouts_by(df.limit(0)).count() == 0 and events.rate_limit(df.limit(0), "account").count() == 0
+
+
+def test_folds_of_one_hot_key(spark):
+    df = spark.range(30_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("user_id"), F.timestamp_seconds("id").alias("ts"))
+    got = events.rate_limit(df.unionByName(df.limit(10)), limit=120, window_ms=60_000_000).groupBy("user_id").agg(F.count_if("allowed").alias("n"), F.count("*").alias("all")).filter("user_id = -1").first()
+    assert (got["n"], got["all"]) == (120, 20_000)
