@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from cairnfield.functions.lineage import shared_folder
 from cairnfield.operators import events, ingest, store
 from cairnfield.operators.markdown import canonical_json, is_slug, valid_path
 from cairnfield.plans.tables import NOW_SECONDS, Tables, sql
@@ -49,8 +52,11 @@ def _next(t: Tables):
 
 
 def _pushed(t: Tables):
-    pushed = t("file_rows").select("repository_id", "path").distinct().groupBy("repository_id").agg(F.collect_list("path").alias("paths"))
-    return pushed.select("repository_id", F.explode("paths").alias("path")).groupBy("repository_id").agg(F.count("*").alias("files"))
+    """What a sync of pushed requests would change."""
+    old, incoming, manifest = _snapshot(t)
+    folder = f"{shared_folder(t.spark)}/pushes-{uuid.uuid4().hex}"
+    file_sources.write_pushes(incoming, manifest, folder)
+    return ingest.sync_diff(old, *file_sources.pushed_files(t.spark, folder, lines=True))
 
 
 def _replaced(t: Tables):
@@ -97,8 +103,12 @@ def _entries(t: Tables):
 
 
 def _import_report(t: Tables):
-    ok = is_slug(F.col("type")) & is_slug(F.split_part("path", F.lit("/"), F.lit(2))) & (F.get_json_object("frontmatter", "$.type") == F.col("type"))
-    return _notes(t).groupBy("vault_id").agg(F.count_if(F.coalesce(ok, F.lit(False))).alias("imported"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("skipped"))
+    """What an import of every vault's archive takes and skips; every fifth note breaks a rule."""
+    notes = _notes(t).dropDuplicates(["vault_id", "path", "deleted_at"]).withColumn("frontmatter", F.when(F.col("id") % 5 == 0, F.lit('{"type": "other"}')).otherwise(F.col("frontmatter")))
+    first = notes.filter("deleted_at is null").groupBy("vault_id", "path").agg(F.min("id").alias("id"))
+    archives = file_sources.vault_archives(notes.join(first, ["vault_id", "path", "id"], "left_semi"), t("vaults").select(F.col("id").alias("vault_id"), F.lit("{}").alias("manifest")))
+    found = file_sources.import_archives(archives)
+    return found.groupBy("vault_id").agg(F.count_if(F.col("problem").isNull()).alias("imported"), F.count_if(F.col("problem").isNotNull()).alias("skipped"))
 
 
 def _log(t: Tables):
@@ -165,6 +175,7 @@ def oracle_sql() -> dict[str, str]:
                 case when locked then count when outcome = 'success' then 0 when inside then count + 1 else 1 end
             from (select l.user_id, l.event_id, l.n, l.outcome, l.us, f.start, f.count, coalesce(l.us - f.start <= {w}, false) as inside, coalesce(l.us - f.start <= {w} and f.count >= {k}, false) as locked
                   from fold f join log l on l.user_id = f.user_id and l.n = f.n + 1)) """
+    from cairnfield.plans.knowledge import PROBLEM
     from cairnfield.plans.tables import DERIVED
 
     return {
@@ -215,7 +226,7 @@ def oracle_sql() -> dict[str, str]:
         "sync_summary": f"""with {_FILES} select repository_id, count(*) filter (where status = 'created') as created, count(*) filter (where status = 'updated') as updated,
             count(*) filter (where status = 'deleted') as deleted, count(*) filter (where status = 'unchanged') as unchanged from diff group by repository_id""",
         "watch_batch_diff": f"""select id, case when id % 4 = 0 then strlen(content) + 1 else size end as size, case when id % 4 = 0 then {now_us} else epoch_us(updated_at) end as updated from (select distinct * from repository_files)""",
-        "push_sync": "select repository_id, count(distinct path) as files from repository_files group by repository_id",
+        "push_sync": f"with {_FILES} select repository_id, path, status from diff",
         "list_files": r"select distinct path from repository_files where not regexp_matches(path, '(^|/)(\.git|node_modules|dist|build|\.next|coverage|__pycache__|\.venv)(/|$)')",
         "poll_candidates": f"""select id, name from repositories where ingestion_method = 'git' and sync_status <> 'syncing'
             and case when last_webhook_at is null then true when epoch_us(to_timestamp({NOW_SECONDS})) - epoch_us(last_webhook_at) <= 600000000 then false else last_synced_at is null or last_synced_at < last_webhook_at end""",
@@ -224,8 +235,9 @@ def oracle_sql() -> dict[str, str]:
             from (select name, regexp_matches(name, '^vaults/([0-9a-f-]+)/(.+)[.]md$') as hit from (select lower('vaults/' || printf('%X', vault_id) || '/' || path || case when id % 5 = 0 then '.txt' else '.md' end) as name from note_rows))"""
         ),
         "import_report": n(
-            """select vault_id, count(*) filter (where ok) as imported, count(*) filter (where not ok) as skipped from (
-            select vault_id, coalesce(regexp_matches(type, '^[a-z0-9][a-z0-9-]*$') and regexp_matches(split_part(path, '/', 2), '^[a-z0-9][a-z0-9-]*$') and json_extract_string(frontmatter, '$.type') = type, false) as ok from note_rows) group by vault_id"""
+            f"""select vault_id, count(*) filter (where problem is null) as imported, count(*) filter (where problem is not null) as skipped from (
+            select vault_id, {PROBLEM} as problem from (select vault_id, split_part(path, '/', 1) as type, split_part(path, '/', 2) as name, case when id % 5 = 0 then '{{"type": "other"}}' else frontmatter end as frontmatter, coalesce(body, '') as body
+                from note_rows where deleted_at is null qualify row_number() over (partition by vault_id, path order by id) = 1)) group by vault_id"""
         ),
         "validate_paths": sql("select id, coalesce(regexp_matches(path, '^[a-z0-9][a-z0-9-]*/[a-z0-9][a-z0-9-]*$'), false) as valid from note_rows union all select id, coalesce(regexp_matches(path, '^[a-z0-9][a-z0-9-]*/[a-z0-9][a-z0-9-]*$'), false) from file_rows", "note_rows", "file_rows"),
         "rate_limit": fold.format(w=SIX_HOURS_MS * 1000) + f"select user_id, event_id, count <= {FEW} as allowed from fold",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions.lineage import shared_folder
 from cairnfield.functions.paths import LANGUAGE_OF, language_of
 from cairnfield.operators import access, code, embedding, graph, ingest, search
-from cairnfield.operators.markdown import parse_note, problem_of, serialize_note, type_index, wikilinks
+from cairnfield.operators.markdown import parse_note, note_links, problem_of, serialize_note, type_index, wikilinks
 from cairnfield.plans.tables import Tables, sql
 
 QUERY, PHRASE_QUERY = "note index", '"revision list" or vault -digest'
@@ -133,7 +133,11 @@ def _modularity_ready(t: Tables) -> DataFrame:
 
 
 def _reparsed(t: Tables) -> DataFrame:
-    raw = t("note_rows").select("id", serialize_note(F.col("frontmatter"), F.col("body")).alias("raw"))
+    """Notes from their raw texts, most of them sound, some without a fence or with frontmatter that is none."""
+    case = F.col("id") % 10
+    good = serialize_note(F.col("frontmatter"), F.col("body"))
+    raw = F.when(case == 0, F.col("body")).when(case == 1, F.concat(F.lit("---\n- a\n---\n"), F.col("body"))).when(case == 2, F.concat(F.lit("---\na: [\n---\n"), F.col("body"))).when(case == 3, F.lit(None)).otherwise(good)
+    raw = t("note_rows").select("id", raw.alias("raw"))
     return raw.select("id", parse_note(F.col("raw")).alias("n")).select("id", F.get_json_object("n.frontmatter", "$.type").alias("type"), F.octet_length("n.body").alias("size"), "n.error")
 
 
@@ -149,9 +153,17 @@ def _embed_errors(t: Tables) -> DataFrame:
 
 
 def _reindex(t: Tables) -> DataFrame:
-    links = _note_rows(t).select(F.explode(wikilinks(F.col("body"))).alias("target")).agg(F.count("*").alias("links"))
-    tokens = search.postings(items(t)).agg(F.count("*").alias("postings"))
-    return links.crossJoin(tokens)
+    """Links and embeddings of all live notes and files, built anew, stored and read back: rows and their checksum."""
+    import uuid
+
+    folder = f"{shared_folder(t.spark)}/reindex-{uuid.uuid4().hex}"
+    note_links(_note_rows(t)).write.parquet(f"{folder}/links")
+    notes = t("note_rows").filter("deleted_at is null").select(F.concat(F.lit("note:"), "id").alias("key"), embedding.embed_text(F.col("path"), F.col("frontmatter"), F.col("body")).alias("text"))
+    files = t("file_rows").select(F.concat(F.lit("code:"), "id").alias("key"), F.concat_ws("\n", "path", F.coalesce("content", F.lit(""))).alias("text"))
+    embedding.hash_embedding(notes.unionByName(files), "key", F.col("text")).write.parquet(f"{folder}/embeddings")
+    links, vectors = t.spark.read.parquet(f"{folder}/links"), t.spark.read.parquet(f"{folder}/embeddings")
+    of = lambda df, part, key: df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("items")).select(F.lit(part).alias("part"), "rows", "items")
+    return of(links, "links", "source_note_id").unionByName(of(vectors, "embeddings", "key"))
 
 
 def queries() -> dict:
@@ -213,6 +225,11 @@ def queries() -> dict:
     }
 
 
+PROBLEM = """case when not coalesce(regexp_matches(type, '^[a-z0-9][a-z0-9-]*$'), false) then 'type is not a slug' when not coalesce(regexp_matches(name, '^[a-z0-9][a-z0-9-]*$'), false) then 'name is not a slug'
+        when json_extract_string(frontmatter, '$.type') is distinct from type then 'frontmatter type differs' when json_exists(frontmatter, '$.tags') and (json_type(frontmatter, '$.tags') <> 'ARRAY' or len(list_filter(json_extract(frontmatter, '$.tags[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0) then 'tags are not a list of strings'
+        when json_exists(frontmatter, '$.timestamp') and (json_type(frontmatter, '$.timestamp') <> 'VARCHAR' or try_cast(json_extract_string(frontmatter, '$.timestamp') as timestamptz) is null) then 'timestamp is not a date'
+        when json_exists(frontmatter, '$.resource') and json_type(frontmatter, '$.resource') <> 'VARCHAR' then 'resource is not a string'
+        when len(list_filter(json_extract(frontmatter, '$.*'), lambda x: json_type(x) = 'OBJECT' or json_type(x) = 'ARRAY' and len(list_filter(json_extract(x, '$[*]'), lambda y: json_type(y) in ('OBJECT', 'ARRAY'))) > 0)) > 0 then 'a value is neither a scalar nor a list of scalars' when body is null then 'body is missing' end"""
 _STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
 _ITEM = f"""item as (select 'note' as kind, id, 'vault-' || vault_id as scope_id, path as title, body as text, frontmatter, null as language from note_rows where deleted_at is null
     union all select 'code', id, 'repository-' || repository_id, path, content, null, language from file_rows),
@@ -261,11 +278,6 @@ def oracle_sql() -> dict[str, str]:
     node = lambda text: sql("", *rows).rstrip() + f", {_NODE} {text}"
     scope = sql("", *rows, "users", "memberships", "shares", "repository_shares").rstrip() + f""", {_ITEM}, {GRANT}, {REPOSITORY},
         scope as (select 'note' as kind, 'vault-' || vault_id as scope_id from access where user_id = 20 union select 'code', 'repository-' || repository_id from repo_access where user_id = 20) """
-    problem = """case when not coalesce(regexp_matches(type, '^[a-z0-9][a-z0-9-]*$'), false) then 'type is not a slug' when not coalesce(regexp_matches(name, '^[a-z0-9][a-z0-9-]*$'), false) then 'name is not a slug'
-        when json_extract_string(frontmatter, '$.type') is distinct from type then 'frontmatter type differs' when json_exists(frontmatter, '$.tags') and (json_type(frontmatter, '$.tags') <> 'ARRAY' or len(list_filter(json_extract(frontmatter, '$.tags[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0) then 'tags are not a list of strings'
-        when json_exists(frontmatter, '$.timestamp') and (json_type(frontmatter, '$.timestamp') <> 'VARCHAR' or try_cast(json_extract_string(frontmatter, '$.timestamp') as timestamptz) is null) then 'timestamp is not a date'
-        when json_exists(frontmatter, '$.resource') and json_type(frontmatter, '$.resource') <> 'VARCHAR' then 'resource is not a string'
-        when len(list_filter(json_extract(frontmatter, '$.*'), lambda x: json_type(x) = 'OBJECT' or json_type(x) = 'ARRAY' and len(list_filter(json_extract(x, '$[*]'), lambda y: json_type(y) in ('OBJECT', 'ARRAY'))) > 0)) > 0 then 'a value is neither a scalar nor a list of scalars' when body is null then 'body is missing' end"""
     language = "case lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"when '{a}' then '{b}'" for a, b in LANGUAGE_OF.items()) + " end"
     from cairnfield.plans.integrity import _NORMAL
 
@@ -313,8 +325,16 @@ def oracle_sql() -> dict[str, str]:
         "components": (sql("", *rows).replace("with ", "with recursive ", 1).rstrip() + f""", {_NODE}, {_SEMANTIC}, two_way as (select a as u, b as v from every union select b, a from every),
             walk as (select key, key as reached from node union select w.key, t.v from walk w join two_way t on t.u = w.reached) select key, min(reached) as component from walk group by key"""),
         "type_index": sql(r"select vault_id, type, '# ' || type || chr(10) || string_agg('- [[' || path || ']]', chr(10) order by name, path) as content from (select distinct vault_id, type, name, path from live_notes) group by vault_id, type", "live_notes"),
-        "validate_notes": sql(f"select id, {problem} as problem from note_rows", "note_rows"),
-        "parse_notes": sql("select id, json_extract_string(frontmatter, '$.type') as type, cast(strlen(body) as int) as size, null::varchar as error from note_rows", "note_rows"),
+        "validate_notes": sql(f"select id, {PROBLEM} as problem from note_rows", "note_rows"),
+        "parse_notes": sql("""select id, case when error is null then json_extract_string(frontmatter, '$.type') end as type, case when error is null then cast(strlen(body) as int) end as size, error from (
+            select *, case id % 10 when 0 then case when body is null then 'empty' else 'missing frontmatter' end when 1 then case when body is null then 'empty' else 'frontmatter is not a mapping' end
+                when 2 then case when body is null then 'empty' else 'frontmatter is not YAML' end when 3 then 'empty' end as error from note_rows)""", "note_rows"),
+        "reindex": sql("""select 'links' as part, count(*) as rows, count(distinct id) as items from (select distinct id, target from (select id, trim(unnest(regexp_extract_all(body, '\\[\\[([^\\]|#]+)(?:[|#][^\\]]*)?\\]\\]', 1))) as target from note_rows where deleted_at is null) where target <> '')
+            union all select 'embeddings', count(*), count(distinct key) from (
+                select key, cast(('0x' || h[1:4])::int % 384 as int) as dim, sum(case when ('0x' || h[5:6])::int % 2 = 0 then 1.0 else -1.0 end) as v from (
+                    select key, sha256(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) as h from (
+                        select 'note:' || id as key, concat_ws(chr(10), path, coalesce(frontmatter, '{}'), coalesce(body, '')) as text from note_rows where deleted_at is null
+                        union all select 'code:' || id, concat_ws(chr(10), path, coalesce(content, '')) from file_rows)) group by all) where v <> 0""", *rows),
         "detect_language": sql(f"select id, {language} as detected from file_rows", "file_rows"),
         "import_resolution": f"""with file as (select distinct id, repository_id, path from repository_files), known as (select repository_id, path, min(id) as file_id from file group by all),
             imp as (select distinct source_file_id as source_id, target_path from repository_file_imports where target_path like '.%'),

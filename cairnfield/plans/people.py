@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from cairnfield.functions.lineage import shared_folder
+from cairnfield.sources.files import backup, restore
+
 from cairnfield.operators import access, admin, store
 from cairnfield.plans.tables import NOW_SECONDS, Tables, sql
 from cairnfield.sources import files
@@ -155,10 +160,17 @@ def queries() -> dict:
     }
 
 
+ACCOUNT_TABLES = ("users", "teams", "memberships", "vaults", "shares", "preferences", "repositories", "repository_shares")
+
+
 def _counts(t: Tables):
-    out = None
-    for name in ("users", "teams", "memberships", "vaults", "shares", "preferences", "repositories", "repository_shares"):
-        row = t(name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+    """Rows of each table as a backup's restore gives them."""
+    folder, out = f"{shared_folder(t.spark)}/backup-{uuid.uuid4().hex}", None
+    tables = {name: t(name) for name in ACCOUNT_TABLES}
+    backup(tables, folder)
+    restored = restore(t.spark, folder, {n: df.schema.simpleString()[7:-1].replace(":", " ") for n, df in tables.items()}, existing={"users": tables["users"].limit(0)})
+    for name in ACCOUNT_TABLES:
+        row = restored[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         out = row if out is None else out.unionByName(row)
     return out
 

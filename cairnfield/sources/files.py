@@ -31,8 +31,7 @@ def _relative(root: str) -> Column:
 
 def read_tree(spark: SparkSession, root: str, ignore: str = IGNORED) -> DataFrame:
     """(path, language, content, size) of the text files under a folder that the ignore pattern leaves."""
-    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").load(root)
     rows = raw.select(_relative(root).alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").cast("int").alias("size"))
     return rows.filter(~F.col("path").rlike(ignore)).select("path", language_of(F.col("path")).alias("language"), "content", "size")
 
@@ -54,10 +53,27 @@ def write_notes(notes: DataFrame, root: str) -> None:
     notes.select("path", serialize_note(F.col("frontmatter"), F.col("body")).alias("text")).write.mode("overwrite").json(root)
 
 
-def pushed_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(files, manifest) of pushed JSON requests: {repository_id, files: [{path, content}], currentPaths: []}."""
+def write_pushes(files: DataFrame, manifest: DataFrame, folder: str, chunk: int = 200) -> None:
+    """The requests that push files (repository_id, path, content) and a manifest (repository_id, path), one a line.
+
+    A request has about ``chunk`` paths at most, dealt out by a hash, so a repository of any size is many requests.
+    """
+    size = files.select("repository_id", "path").unionByName(manifest.select("repository_id", "path")).groupBy("repository_id").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    rows = files.select("repository_id", "path", F.struct("path", "content").alias("f")).unionByName(manifest.select("repository_id", "path"), allowMissingColumns=True)
+    part = F.pmod(F.xxhash64("path"), F.col("parts"))
+    each = rows.join(size, "repository_id").groupBy("repository_id", part.alias("part"))
+    # ``collect_list`` skips nulls: a row is either a file or an entry of the manifest.
+    requests = each.agg(F.collect_list("f").alias("files"), F.collect_list(F.when(F.col("f").isNull(), F.col("path"))).alias("currentPaths"))
+    requests.drop("part").write.mode("overwrite").json(folder)
+
+
+def pushed_files(spark: SparkSession, folder: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files, manifest) of pushed JSON requests: {repository_id, files: [{path, content}], currentPaths: []}.
+
+    Each file of the folder is one request, or with ``lines`` has a request a line.
+    """
     schema = "repository_id bigint, files array<struct<path:string,content:string>>, currentPaths array<string>"
-    raw = spark.read.schema(schema).json(folder, multiLine=True)
+    raw = spark.read.schema(schema).json(folder, multiLine=not lines)
     files = raw.select("repository_id", F.explode("files").alias("f")).select("repository_id", "f.path", "f.content")
     return files, raw.select("repository_id", F.explode("currentPaths").alias("path"))
 
@@ -127,7 +143,13 @@ def backup(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").json(f"{folder}/{name}")
 
 
-def restore(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    """The tables of a backup with their ids and times as they were. ``schemas``: DDL by table."""
+def restore(spark: SparkSession, folder: str, schemas: dict[str, str], existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables of a backup with their ids and times as they were. ``schemas``: DDL by table.
+
+    Only an empty instance is restored: if any of the ``existing`` tables has a row, it is an error.
+    """
+    for name, df in (existing or {}).items():
+        if not df.isEmpty():
+            raise ValueError(f"{name} has rows; only an empty instance can be restored")
     return {name: spark.read.schema(ddl).json(f"{folder}/{name}") for name, ddl in schemas.items()}
 
