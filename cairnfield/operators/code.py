@@ -8,6 +8,7 @@ Results: files of another or no language, and null contents, give nothing; a rep
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -21,12 +22,15 @@ NAME = r"[A-Za-z_$¡-
 AT_START = r"(?:(?<=[\n;{}])|^)[ \t\r]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?"
 SYMBOLS = {
     "javascript": ((re.compile(rf"{AT_START}((?:async[ \t]+)?function[ \t]*\*?[ \t]*({NAME})[ \t\r\n]*[(<])", re.M), "function"), (re.compile(rf"{AT_START}((?:abstract[ \t]+)?class[ \t]+({NAME}))", re.M), "class")),
-    "go": ((re.compile(r"^()func[ \t]+(\w+)[ \t]*[(\[]", re.M), "function"), (re.compile(r"^()type[ \t]+(\w+)[ \t]", re.M), "type")),
+    "go": ((re.compile(r"^()func[ \t]+(\w+)[ \t]*[(\[]", re.M), "function"),),
     "python": ((re.compile(r"^[ \t]*((?:async[ \t]+)?def[ \t]+(\w+)[ \t]*[(\[])", re.M), "function"), (re.compile(r"^[ \t]*(class[ \t]+(\w+)[ \t]*[(:\[])", re.M), "class")),
 }
 SYMBOLS["typescript"] = (*SYMBOLS["javascript"], (re.compile(rf"{AT_START}(interface[ \t]+({NAME}))", re.M), "interface"), (re.compile(rf"{AT_START}(type[ \t]+({NAME})[ \t]*(?:<[^=\n]*>)?[ \t]*=)", re.M), "type"))
 SCRIPT_IMPORT = re.compile(r"(?:^|;)[ \t]*import\b[ \t\r\n]*(?![(.])(?:[^;'\"]*?\bfrom[ \t\r\n]*)?(?=['\"])", re.M)
 PYTHON_IMPORT = re.compile(r"^[ \t]*import[ \t]+([^\n#;]+)|^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import\b", re.M)
+# A type declaration begins a statement, at any depth; an alias declares no type.
+GO_TYPE = re.compile(r"(?:^|(?<=[\n;{]))[ \t]*(type\b)[ \t\r\n]*(?=[\w(])")
+GO_SPEC = re.compile(r"[ \t\r\n;]*([^\W\d]\w*)[ \t]*(?![\w \t]*=)")
 GO_IMPORT = re.compile(r"^import\b[ \t]*(\([^)]*\)|[^\n]*)", re.M)
 QUOTED = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`")
 
@@ -60,15 +64,56 @@ def _indent_end(text: str, mask: str, at: int) -> int:
     return at + len("\n".join(lines))
 
 
+def _go_types(mask: str) -> Iterator[tuple[str, int, int]]:
+    """(name, begin, end) of the types of a Go text; those declared in one group all have the group's place."""
+    for m in GO_TYPE.finditer(mask):
+        begin, at = m.start(1), m.end()
+        grouped = mask[at] == "("
+        end = lexing.balanced(mask, at) if grouped else None
+        at += grouped
+        while spec := GO_SPEC.match(mask, at):
+            at = spec.end()
+            # A spec ends with its line, or with the line that closes its last bracket.
+            stop = at
+            for b in GO_STOP.finditer(mask, at):
+                if b.start() < stop:
+                    continue
+                if b[0] in "([{":
+                    stop = lexing.balanced(mask, b.start())
+                else:
+                    stop = b.start()
+                    break
+            else:
+                stop = len(mask)
+            yield spec[1], begin, stop if end is None else end
+            at = stop
+            if end is None:
+                break
+
+
+GO_STOP = re.compile(r"[(\[{\n;)]")
+
+
 def symbols(text: str, language: str) -> Iterator[tuple[str, str, int, int]]:
     """(name, kind, start line, end line) of the symbols of a text."""
     mask = _mask(text, language)
+    ends: list[int] = []
+
+    def line_of(place: int) -> int:
+        if not ends:
+            ends.extend(m.start() for m in re.finditer("\n", text))
+            ends.append(len(text))
+        return bisect_left(ends, place) + 1
+
+    if language == "go":
+        for name, begin, end in _go_types(mask):
+            yield name, "type", line_of(begin), line_of(max(begin, end - 1))
     for pattern, kind in SYMBOLS[language]:
         for m in pattern.finditer(mask):
             begin = m.start(1) if m[1] else m.start()
             if language == "python":
                 end = _indent_end(text, mask, begin)
-            elif kind == "type" and language == "typescript" or kind == "type" and "{" not in mask[begin : mask.find("\n", begin) if "\n" in mask[begin:] else len(mask)]:
+            elif kind == "type":
                 stop = mask.find("\n", begin)
                 end = stop if stop >= 0 else len(mask)
             else:
@@ -89,8 +134,7 @@ def symbols(text: str, language: str) -> Iterator[tuple[str, str, int, int]]:
                 if brace < 0:
                     continue  # a signature without a body
                 end = lexing.balanced(mask, brace)
-            start = mask.count("\n", 0, begin) + 1
-            yield m[2], kind, start, start + text.count("\n", begin, max(begin, end - 1))
+            yield m[2], kind, line_of(begin), line_of(max(begin, end - 1))
 
 
 def imports(text: str, language: str) -> Iterator[str]:
@@ -113,7 +157,8 @@ def imports(text: str, language: str) -> Iterator[str]:
     else:
         for m in GO_IMPORT.finditer(mask):
             for q in QUOTED.finditer(text, m.start(), m.end()):
-                yield next(x for x in q.groups() if x is not None)
+                if q[1] is not None:
+                    yield q[1]
 
 
 def _files(files: DataFrame) -> DataFrame:

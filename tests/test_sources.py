@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import hmac
+import re
 
 from pyspark.sql import functions as F
 
@@ -104,3 +105,19 @@ def test_stream_twin_equals_batch(spark, tmp_path):
     query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(events.rate_limit(df, limit=3, window_ms=120_000))
+
+
+def test_go_types_at_any_depth():
+    go = 'package p\n\nimport (\n\t"fmt"\n\tx `raw`\n)\n\ntype (\n\tA struct {\n\t\tB int\n\t}\n\tC[T any] map[string]T\n\tD = int\n)\n\ntype E = int\n\ntype F func(a int) error\n\nfunc G(x any) {\n\ttype H struct {\n\t\ta int\n\t}\n\tswitch x.(type) {\n\t}\n\tif true { type I int }\n}\n\nfunc (s *A) M() {}\n'
+    assert sorted(code.symbols(go, "go")) == [("A", "type", 8, 14), ("C", "type", 8, 14), ("F", "type", 18, 18), ("G", "function", 20, 27), ("H", "type", 21, 23), ("I", "type", 26, 26)]
+    assert list(code.imports(go, "go")) == ["fmt"]
+
+
+def test_symbols_of_the_tables(spark, folder):
+    files_, stored = spark.read.parquet(f"{folder}/repository_files.parquet"), spark.read.parquet(f"{folder}/repository_file_symbols.parquet").distinct()
+    texts = {r["id"]: (r["content"] or "").split("\n") for r in files_.select("id", "content", "language").filter("language is not null").collect()}
+    # A stored symbol is up to date if its first line declares its name.
+    declares = lambda r: re.search(rf"\b(?:def|class|func|function|type|interface)\b.*\b{re.escape(r['name'])}\b", (texts.get(r["file_id"]) or [""])[r["start_line"] - 1 : r["start_line"]][0] if r["start_line"] <= len(texts.get(r["file_id"], ())) else "")
+    want = {(r["file_id"], r["name"], r["kind"], r["start_line"]) for r in stored.collect() if declares(r)}
+    got = {(r["file_id"], r["name"], r["kind"], r["start_line"]) for r in code.code_symbols(files_).collect()}
+    assert len(want) > 50 and len(want & got) >= 0.97 * len(want)
