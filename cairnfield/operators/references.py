@@ -1,9 +1,10 @@
 """References to records that don't exist, are in the trash or came later (problem 7).
 
-The keys of all parents go into a Bloom filter, built in parallel and sent to every executor; its size is fixed
-beforehand, so it stays sendable however many keys there are (beyond that it only lets more references through). A
-reference that the filter denies is an orphan for certain. Only those it lets through are looked up by an exact join,
-which also compares times. Relative imports are tried in the order of their candidate paths.
+The keys of all parents go into a Bloom filter, built in parallel and sent to every executor; its size is bounded, so
+it stays sendable however many keys there are (from about 20 million on it lets more and more references through, which
+costs time but no result). A reference that the filter denies is an orphan for certain. Only those it lets through are
+looked up by an exact join, which also compares times. Relative imports are tried in the order of their candidate
+paths; all other references have one candidate. Each reference is tested once, and all kinds share one join.
 
 Results: a reference is reported once, however often it was delivered. A source that is missing from its table has no
 time to compare, so its references are orphans with a null period. Null targets refer to nothing and are skipped.
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from cairnfield.functions.paths import import_candidates
 
-#: Bits of the filter (16 MB, in whole words of 64) and hashes of a key.
-FILTER_BITS, FILTER_HASHES = 1 << 27, 4
+#: Most bits of the filter (32 MB, in whole words of 64) and hashes of a key.
+FILTER_BITS, FILTER_HASHES = 1 << 28, 4
 BITS_A_KEY = 12
+#: Copies of each parent that its references are dealt out to.
+COPIES = 8
 
 
 class Bloom:
@@ -69,9 +72,9 @@ def build_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Bloom:
     return Bloom(field, bits)
 
 
-def _key(parent: str, *parts: Column | str) -> Column:
-    """Hash of a key of one kind of parent; one filter holds the keys of all kinds."""
-    return F.xxhash64(F.lit(parent), *parts)
+def _key(*parts: str) -> Column:
+    """Hash of a key and of the kind of parent it belongs to; one filter holds the keys of all kinds."""
+    return F.xxhash64(*parts)
 
 
 def _tested(refs: DataFrame, shared) -> DataFrame:
@@ -83,19 +86,6 @@ def _tested(refs: DataFrame, shared) -> DataFrame:
     return refs.withColumn("possible", F.pandas_udf(possible, "boolean")("key"))
 
 
-def _orphans(refs: DataFrame, parents: DataFrame, parent: str, on: list[str], shared) -> DataFrame:
-    """(ref_table, source_id, target_path, updated_at, reason): references without a parent of their time.
-
-    refs: ref_table, source_id, target_path, updated_at, key columns ``on``; parents: ``on`` and created_at, unique.
-    """
-    tested = _tested(refs.withColumn("key", _key(parent, *on)), shared)
-    denied = tested.filter("not possible").withColumn("reason", F.lit("missing"))
-    joined = tested.filter("possible").join(parents, on, "left")
-    late = joined.filter("created_at is null or updated_at is null or created_at > updated_at").withColumn("reason", F.when(F.col("created_at").isNull(), "missing").otherwise("later"))
-    cols = ["ref_table", "source_id", "target_path", "updated_at", "reason"]
-    return denied.select(cols).unionByName(late.select(cols))
-
-
 def orphan_references(notes: DataFrame, note_links: DataFrame, repositories: DataFrame, files: DataFrame, imports: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """(ref_table, source_id, target_path, updated_at, reason) of every orphan reference, each once."""
     spark = notes.sparkSession
@@ -104,8 +94,10 @@ def orphan_references(notes: DataFrame, note_links: DataFrame, repositories: Dat
     file_rows = files.select(F.col("id").cast("bigint").alias("source_id"), F.col("repository_id").cast("bigint").alias("repository_id"), F.col("path").alias("path"), "created_at", "updated_at")
     note_sources = note_rows.groupBy("source_id").agg(F.max("vault_id").alias("vault_id"), F.max("updated_at").alias("updated_at"))
     file_sources = file_rows.groupBy("source_id").agg(F.max("repository_id").alias("repository_id"), F.max("updated_at").alias("updated_at"), F.max("path").alias("source_path"))
-    live = note_rows.filter("deleted_at is null and path is not null").groupBy("vault_id", "path").agg(F.min("created_at").alias("created_at"))
-    by_path = file_rows.filter("path is not null").groupBy("repository_id", "path").agg(F.min("created_at").alias("created_at"))
+    # All parents as one frame: a note by vault and path, a file by repository and path, and a file by its id.
+    parent = lambda df, kind, number, path: df.select(F.lit(kind).alias("parent"), F.col(number).alias("number"), path.alias("path"), "created_at")
+    parents = parent(note_rows.filter("deleted_at is null and path is not null"), "note", "vault_id", F.col("path"))
+    parents = parents.unionByName(parent(file_rows.filter("path is not null"), "file", "repository_id", F.col("path"))).unionByName(parent(file_rows, "id", "source_id", F.lit("")))
 
     links = note_links.filter("target_path is not null").select(F.col("source_note_id").cast("bigint").alias("source_id"), "target_path").distinct().join(note_sources, "source_id", "left").withColumn("ref_table", F.lit("note_links"))
     is_repo = F.col("target_path").startswith("repo:") & F.col("target_path").contains("/")
@@ -123,25 +115,31 @@ def orphan_references(notes: DataFrame, note_links: DataFrame, repositories: Dat
     by_id = refs.filter("target_id is not null")
     relative = refs.filter("target_id is null")
 
-    ids = file_rows.groupBy(F.col("source_id").alias("target_id")).agg(F.min("created_at").alias("created_at"))
     # Repeated keys set the same bits, so the filter is built from the scans as they are, without a shuffle.
-    keys = note_rows.filter("deleted_at is null and path is not null").select(_key("note", "vault_id", "path").alias("key"))
-    keys = keys.unionByName(file_rows.filter("path is not null").select(_key("file", "repository_id", "path").alias("key"))).unionByName(file_rows.select(_key("id", "source_id").alias("key")))
-    shared = spark.sparkContext.broadcast(build_filter(keys, bits))
-
-    out = _orphans(plain, live, "note", ["vault_id", "path"], shared)
-    out = out.unionByName(_orphans(to_files, by_path, "file", ["repository_id", "path"], shared))
-    out = out.unionByName(_orphans(by_id, ids, "id", ["target_id"], shared))
-
-    # Relative imports: all candidates are tested, the first that exists decides.
-    tried = relative.select("*", F.posexplode_outer(import_candidates(F.col("source_path"), F.col("target_path"))).alias("pos", "path"))
-    tested = _tested(tried.withColumn("key", _key("file", "repository_id", "path")), shared)
+    shared = spark.sparkContext.broadcast(build_filter(parents.select(_key("parent", "number", "path").alias("key")), bits))
+
+    def tried(df: DataFrame, kind: str, number: str, path: Column, pos: Column = F.lit(0), ref: Column = F.lit(None)) -> DataFrame:
+        return df.select("ref_table", "source_id", "target_path", "updated_at", ref.cast("bigint").alias("ref"), pos.alias("pos"), F.lit(kind).alias("parent"), F.col(number).alias("number"), path.alias("path"))
+
+    candidates = relative.select("*", F.posexplode_outer(import_candidates(F.col("source_path"), F.col("target_path"))).alias("pos", "candidate"))
+    refs = tried(plain, "note", "vault_id", F.col("path"))
+    refs = refs.unionByName(tried(to_files, "file", "repository_id", F.col("path")))
+    refs = refs.unionByName(tried(by_id, "id", "target_id", F.lit(""), ref=F.col("target_id")))
+    refs = refs.unionByName(tried(candidates, "file", "repository_id", F.col("candidate"), F.coalesce("pos", F.lit(0))))
+    tested = _tested(refs.withColumn("key", _key("parent", "number", "path")), shared).drop("key")
+    # What the filter denies is missing; one row of each reference stays, under a key of its own that matches nothing.
+    # A parent that a third of all references name is no single task's: references are dealt out to copies of it.
+    number = F.when(F.col("possible"), F.col("number")).otherwise(F.xxhash64("source_id", "target_path")).alias("number")
+    key = (F.when(F.col("possible"), F.col("parent")).otherwise("none").alias("parent"), number, "path", F.pmod(F.xxhash64("source_id"), F.lit(COPIES)).cast("int").alias("copy"))
+    kept = tested.filter("possible or pos = 0").select("ref_table", "source_id", "target_path", "updated_at", "ref", "pos", *key)
+    known = parents.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).groupBy("parent", "number", "path", "copy").agg(F.min("created_at").alias("created_at"), F.lit(True).alias("there"))
+    both = kept.join(known, ["parent", "number", "path", "copy"], "left")
     ref_keys = ["ref_table", "source_id", "target_path"]
-    hits = tested.filter("possible and path is not null").join(by_path, ["repository_id", "path"]).groupBy(*ref_keys).agg(F.min(F.struct("pos", "created_at")).alias("hit"))
-    resolved = relative.join(hits, ref_keys, "left")
-    late = resolved.filter("hit is null or updated_at is null or hit.created_at is null or hit.created_at > updated_at").withColumn("reason", F.when(F.col("hit").isNull(), "missing").otherwise("later"))
-    out = out.unionByName(late.select("ref_table", "source_id", "target_path", "updated_at", "reason"))
-    return out.groupBy("ref_table", "source_id", "target_path").agg(F.max("updated_at").alias("updated_at"), F.min("reason").alias("reason"))
+    # Each reference is judged by its first candidate that exists, then the references of one source and target together.
+    first = F.min(F.when(F.col("there"), F.struct("pos", "created_at"))).alias("hit")
+    judged = both.repartition(*ref_keys).groupBy(*ref_keys, "ref").agg(F.max("updated_at").alias("updated_at"), first)
+    late = judged.filter("hit is null or updated_at is null or hit.created_at is null or hit.created_at > updated_at").withColumn("reason", F.when(F.col("hit").isNull(), "missing").otherwise("later"))
+    return late.groupBy(*ref_keys).agg(F.max("updated_at").alias("updated_at"), F.min("reason").alias("reason"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
