@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from cairnfield.functions.arrow import map_rows, spread
@@ -173,8 +175,12 @@ def encoder(path: str) -> Encoder:
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(``id_col``, ids array<int>) of each row; see the module for nulls and empty texts."""
 
+    # The vocabulary need only be where the driver can read it; Spark hands the file to the executors.
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
+
     def kernel(columns: list[list]):
-        encode = encoder(vocabulary).encode
+        encode = encoder(SparkFiles.get(name)).encode
         for i, text in zip(*columns):
             yield i, encode(text)
 
