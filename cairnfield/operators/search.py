@@ -26,6 +26,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cairnfield.functions.lineage import cut
+
 CANDIDATES, RRF_K, DEFAULT_LIMIT, MAX_LIMIT = 30, 60, 20, 100
 HEADLINE_WORDS, SNIPPET_CHARS = 30, 200
 # Words that are not indexed.
@@ -305,6 +307,8 @@ def index_hits(index: Index, query: str, scope: DataFrame | None = None) -> Data
 
 def indexed_search(index: Index, query: str, vector: list[float], limit: int = DEFAULT_LIMIT, scope: DataFrame | None = None) -> DataFrame:
     """What ``hybrid_search`` gives, from a stored index."""
+    # Who may see what is asked once, for both branches.
+    scope = None if scope is None else cut(scope.select("kind", "scope_id").distinct())
     vectors = index.vectors if scope is None else index.vectors.join(scope.distinct(), ["kind", "scope_id"], "left_semi")
     if not (query or "").strip():
         vectors = vectors.limit(0)
