@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnfield.functions import grid
-from cairnfield.operators import admin
+from cairnfield.operators import access, admin
 from tests.conftest import rows
 
 
@@ -80,3 +80,20 @@ def test_grid_join_deals_a_hot_key_out(spark, large):
     a, b = (spark.range(0, n, 1, 4).selectExpr("floor(id / 1000) as k", f"id as {c}") for n, c in ((400, "l"), (300, "r")))
     sizes = [r["count"] for r in grid.grid_join(a, b, "k").groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 120_000 and max(sizes) < 40_000
+
+
+def test_shares_of_a_large_team_are_dealt_out(spark, large):
+    shares = spark.range(0, 400, 1, 4).selectExpr("id", "id % 2 as vault_id", "'team' as grantee_type", "floor(id / 1000) as grantee_id", "'read' as permission")
+    members = spark.range(0, 300, 1, 4).selectExpr("floor(id / 1000) as team_id", "id as user_id")
+    sizes = [r["count"] for r in access.team_shares(shares, members).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 120_000 and max(sizes) < 40_000
+
+
+def test_team_shares_count_repeated_rows_and_skip_null(spark, large):
+    shares = [(v % 3, "team", 7, "edit" if v % 2 else "read") for v in range(200)] + [(1, "team", 8, None), (None, "team", 8, "read"), (1, "team", None, "read"), (1, "user", 7, "read"), (1, "team", 99, "read")]
+    members = [(7, u // 2) for u in range(150)] + [(8, None), (8, 5), (None, 5), (6, 1)]
+    frames = spark.createDataFrame(shares, "vault_id bigint, grantee_type string, grantee_id bigint, permission string"), spark.createDataFrame(members, "team_id bigint, user_id bigint")
+    wanted = Counter((u, v, p, t) for v, kind, g, p in shares if kind == "team" and g is not None for t, u in members if t == g)
+    got = access.team_shares(*frames)
+    assert got.columns == ["user_id", "vault_id", "permission", "team_id"] and Counter(map(tuple, got.collect())) == wanted
+    assert access.team_shares(frames[0].limit(0), frames[1]).count() == 0
